@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
-from .base import read_table
+from . import byte_bpe, token_frames, tree_score
+from .base import Scratch, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -31,8 +31,26 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all documents' ids, written to the shared folder and read back."""
+    scratch = Scratch(spark, "frames")
+    folder = f"{scratch.root}/shards"
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = scratch.save(token_frames.write_shards(docs, folder, public_tokenizers.path(WORD_BPE), 1, shards), "manifest")
+    rows = token_frames.read_shards(manifest, folder)
+    return scratch.keep_for(rows.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32")))
+
+
+def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tree_score.extract_pages(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_frames": op3_token_frames,
+        "op8_tree_score": op8_tree_score,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
