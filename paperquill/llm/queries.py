@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_frames, tree_score
+from . import byte_bpe, decontaminate, token_frames, tree_score
 from .base import Scratch, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,43 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.keep_for(rows.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32")))
 
 
+def decontamination_digests(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    return decontaminate.scan(docs, benchmark, scratch).select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "decontaminate")
+    return scratch.keep_for(decontamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), scratch))
+
+
+OP4_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+cut AS (SELECT item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[i + 1:i + 13], ' ') AS win, least(len(w), 13) AS size FROM cut),
+sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (SELECT r, w, unnest(range(len(w))) AS pos0 FROM words),
+found AS (
+  SELECT s.r, s.pos0, z.size, v.item_id
+  FROM spots s JOIN sizes z ON s.pos0 + z.size <= len(s.w) JOIN windows v ON v.size = z.size AND v.win = array_to_string(s.w[s.pos0 + 1:s.pos0 + z.size], ' ')),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos0, pos0 + size)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tree_score.extract_pages(read_table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -50,10 +87,13 @@ def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_frames": op3_token_frames,
+        "op4_decontaminate": op4_decontaminate,
         "op8_tree_score": op8_tree_score,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontaminate": OP4_SQL,
+    }
