@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, token_frames, tree_score
-from .base import Scratch, read_table
+from . import byte_bpe, decontaminate, token_frames, toxicity, tree_score
+from .base import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def held_out(modulus: int) -> Column:
+    """True for the rows that the contracts keep from training."""
+    return F.coalesce(crc_mod("doc_id", modulus) == 2, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> toxicity.Model:
+    return toxicity.fit(docs, labels.filter(~held_out(4)), scratch)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "toxicity"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels"), scratch))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scratch.keep_for(scored.select("doc_id", held_out(4).alias("held_out"), "score", predicted))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of all documents' ids, written to the shared folder and read back."""
     scratch = Scratch(spark, "frames")
@@ -86,6 +102,7 @@ def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_token_frames": op3_token_frames,
         "op4_decontaminate": op4_decontaminate,
         "op8_tree_score": op8_tree_score,
