@@ -53,12 +53,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDO
     rows, and rows with a null doc_id, are documents of their own. Other columns of the inputs are not read.
     """
     index = scratch.save(window_index(benchmark.select("item_id", "text"), n), "windows")
-    nothing = F.array().cast("array<string>")
     end = docs.sparkSession.range(1).select(
-        F.lit(END).alias("anchor"), F.lit(0).alias("before"), F.lit(0).alias("size"), nothing.alias("words"), nothing.alias("items")
+        F.lit(END).alias("anchor"), F.lit(0).alias("before"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items")
     )
+    window = F.array_join("words", " ")  # a word has no space, so this tells windows apart
     keys = index.withColumn("items", F.col("items").cast("array<string>")).unionByName(end).select(
-        F.lower("anchor").alias("anchor"), "before", "size", "words", "items", F.xxhash64("words").alias("hash"),
+        F.lower("anchor").alias("anchor"), "before", "size", "items", window.alias("window"), F.xxhash64(window).alias("hash"),
         F.lower(F.get("words", F.lit(0))).alias("first"), F.lower(F.get("words", F.col("size") - 1)).alias("last"),
     )
     if index.count() <= MAX_BROADCAST:
@@ -68,10 +68,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDO
     seen = marked.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "word"))
     found = seen.join(keys, F.lower("word") == F.col("anchor"))
     at = F.col("pos") - F.col("before")
-    there = F.transform(F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("size")), lambda x: F.translate(x, UPPER, LOWER))
+    # No lambda here: it would take the join out of generated code, and each position would then copy its document.
+    there = F.translate(F.array_join(F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("size")), " "), UPPER, LOWER)
     # the ends of the window first, for that is cheap; then its hash, and then its words
     agrees = (F.lower(F.get("w", at)) == F.col("first")) & (F.lower(F.get("w", at + F.col("size") - 1)) == F.col("last"))
-    agrees = agrees & (F.xxhash64(there) == F.col("hash")) & (there == F.col("words"))
+    agrees = agrees & (F.xxhash64(there) == F.col("hash")) & (there == F.col("window"))
     is_end = F.col("size") == 0
     found = found.filter(is_end | agrees).select(
         "row", "doc_id", "items",

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, token_frames, toxicity, tree_score
+from . import byte_bpe, decontaminate, near_dup, token_frames, toxicity, tree_score
 from .base import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -100,6 +100,12 @@ def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "near-dup")
+    rows = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), scratch, percent=85)
+    return scratch.keep_for(rows.select("doc_id", "n_shingles", "component_id", "kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
@@ -107,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op8_tree_score": op8_tree_score,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_near_dup": op10_near_dup,
     }
 
 
