@@ -54,8 +54,7 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = read_table(spark, sf_dir, "documents")
     manifest = scratch.save(token_frames.write_shards(docs, folder, public_tokenizers.path(WORD_BPE), 1, shards), "manifest")
-    rows = token_frames.read_shards(manifest, folder)
-    return scratch.keep_for(rows.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32")))
+    return scratch.keep_for(token_frames.read_shards(manifest, folder, with_ids=False).withColumnRenamed("crc", "ids_crc32"))
 
 
 def decontamination_digests(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:

@@ -14,13 +14,17 @@ some documents reads the footer, the table and the index, and decompresses only
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain
+from json import loads
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,34 +36,81 @@ from .base import gather, small_batches, texts
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = np.iinfo(np.int64).min
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Printable characters up to U+024F: none of them combines, and each is lowered by itself.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
+ASCII = bytes(range(128))
+LETTERS = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
+RUN = re.compile(rb"[^A-Za-z0-9\s\x80-\xbf][.,][ \n]").search
+#: The printable characters that byte-level models write bytes as: printable ones stand for themselves, the rest follow from U+0100.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE) for b in range(256)}
 
 
 class ChunkEncoder:
-    """A tokenizer that drops white space, run once for each distinct chunk between ASCII white space."""
+    """A tokenizer that drops white space, run once for each distinct chunk between ASCII white space.
+
+    The chunks of Latin script, which are nearly all, are cut by the tokenizer's own pattern, and its model is asked
+    once for each distinct piece; other chunks, and those that may hold a special token, go to the whole tokenizer.
+    """
 
     def __init__(self, json: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_str(json), end_id
+        self.model = self.tokenizer.model
+        steps = loads(json)
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.latin = None
+        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not steps["post_processor"]:
+            self.latin = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         if self.end is not None:  # white space can't be a chunk, so this one stands for the end
-            self._learn([b" "], [[self.end]])
+            self._learn([b" "], [(self.end,)])
 
-    def _learn(self, chunks: list[bytes], ids: list[list[int]]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def _learn(self, chunks: list[bytes], ids: list[tuple[int, ...]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.lens = np.concatenate([self.lens, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= 100_000:
+                self.pieces.clear()
+            got = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS)))
+        return got
+
+    def _chunk(self, chunk: bytes) -> tuple[int, ...]:
+        if self.latin is not None and chunk.isalpha():  # ASCII letters, which stand for themselves
+            return tuple(t.id for t in self.model.tokenize(chunk.decode().lower()))
+        text = chunk.decode()
+        if self.latin is None or "<|" in text or not PLAIN(text):
+            return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = self.latin(text.lower())
+        return self._piece(parts[0]) if len(parts) == 1 else tuple(i for p in parts for i in self._piece(p))
+
+    @staticmethod
+    def _apart(doc: bytes) -> bytes:
+        """The text in lower case with a space before a comma or full stop at a word's end, where that changes no id:
+        all that isn't ASCII are Latin-1 letters, and each of these marks follows a letter, digit or space."""
+        if b"<|" in doc or not LETTERS(doc.translate(None, ASCII)) or RUN(doc):
+            return doc
+        doc = doc.lower()
+        for mark in (b", ", b". ", b",\n", b".\n"):
+            doc = doc.replace(mark, b" " + mark)
+        return doc
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the documents, with the end id where there is one."""
-        parts = [d.split() for d in docs]
+        parts = [(self._apart(d) if self.latin is not None else d).split() for d in docs]
         if self.end is not None:
             for p in parts:
                 p.append(b" ")
@@ -68,9 +119,7 @@ class ChunkEncoder:
         if new and len(self.known) + len(new) > REMEMBERED:
             self.forget()
             new = list({c for c in chunks if c not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self._learn(some, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)])
+        self._learn(new, [self._chunk(c) for c in new])
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         lens = self.lens[at]
         ends = np.concatenate([[0], np.cumsum(lens)])
@@ -192,36 +241,37 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return ordered.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long")
 
 
-def read_shards(manifest: DataFrame, folder: str, wanted: set[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it, in file order), ids and crc of the documents of all shards.
+def read_shards(manifest: DataFrame, folder: str, wanted: set[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it, in file order), n_tokens, crc and ids of the documents of all shards.
 
     manifest: what write_shards returned, written to a table. It has a row for each shard, so the shards' offsets are
-    summed on the driver; documents stay on the executors. crc: crc32 of the ids as stored.
+    summed on the driver; documents stay on the executors. crc: crc32 of the
+    ids as stored. with_ids: whether the ids themselves are returned.
     """
     total, offset = 0, {}
     for shard, n in manifest.select("shard", "n_tokens").orderBy("shard").collect():
         offset[shard], total = total, total + n
     spark = manifest.sparkSession
     spots = spark.sparkContext.broadcast(offset)
+    names, kinds = ["doc_id", "start", "n_tokens", "crc"], [pa.int64()] * 4
+    if with_ids:
+        names, kinds = [*names, "ids"], [*kinds, pa.list_(pa.int64())]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
         for b in batches:
             for shard, name in zip(b.column("shard").to_pylist(), b.column("name").to_pylist()):
-                held = {"doc_id": [], "start": [], "ids": [], "crc": []}
-                n = 0
-
-                def flush():
-                    return pa.RecordBatch.from_arrays([pa.array(held["doc_id"], pa.int64()), pa.array(held["start"], pa.int64()), pa.array(held["ids"], pa.list_(pa.int64())), pa.array(held["crc"], pa.int64())], names=list(held))
-
+                held, n = [], 0
                 for doc, at, ids in ShardReader(f"{folder}/{name}").documents(wanted):
-                    for k, v in zip(held, (doc, spots.value[shard] + at, ids, zlib.crc32(ids.tobytes()))):
-                        held[k].append(v)
+                    held.append((doc, spots.value[shard] + at, len(ids), zlib.crc32(ids), *([ids] if with_ids else [])))
                     n += len(ids)
                     if n >= FRAME_IDS:
-                        yield flush()
-                        held, n = {k: [] for k in held}, 0
-                if held["doc_id"]:
-                    yield flush()
+                        yield batch(held)
+                        held, n = [], 0
+                if held:
+                    yield batch(held)
 
     one_each = manifest.select("shard", "name").repartitionByRange(max(1, len(offset)), "shard")
-    return one_each.mapInArrow(run, "doc_id long, start long, ids array<long>, crc long")
+    return one_each.mapInArrow(run, "doc_id long, start long, n_tokens long, crc long" + ", ids array<long>" * with_ids)
