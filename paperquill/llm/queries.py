@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dup, token_frames, toxicity, tree_score
+from . import brown, byte_bpe, decontaminate, near_dup, token_frames, toxicity, tree_score
 from .base import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,13 @@ def held_out(modulus: int) -> Column:
     return F.coalesce(crc_mod("doc_id", modulus) == 2, F.lit(False))
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "brown"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, rare = brown.fit(docs.filter(~held_out(7)), scratch)
+    rows = brown.score(docs, model, rare, scratch, [F.col("doc_id"), held_out(7).alias("held_out")])
+    return scratch.keep_for(rows.withColumn("train_tokens", F.lit(model.n).cast("long")))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> toxicity.Model:
     return toxicity.fit(docs, labels.filter(~held_out(4)), scratch)
 
@@ -107,6 +114,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown": op1_brown,
         "op2_toxicity": op2_toxicity,
         "op3_token_frames": op3_token_frames,
         "op4_decontaminate": op4_decontaminate,
