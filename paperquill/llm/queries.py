@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, byte_bpe, decontaminate, near_dup, token_frames, toxicity, tree_score
+from . import brown, byte_bpe, decontaminate, grid_join, near_dup, token_frames, toxicity, tree_score
 from .base import Scratch, crc_mod, read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -101,6 +101,11 @@ FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "grid-join")
+    return scratch.keep_for(grid_join.near_vectors(read_table(spark, sf_dir, "embeddings"), scratch, 0.98))
+
+
 def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tree_score.extract_pages(read_table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_token_frames": op3_token_frames,
         "op4_decontaminate": op4_decontaminate,
+        "op5_grid_join": op5_grid_join,
         "op8_tree_score": op8_tree_score,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_near_dup": op10_near_dup,
