@@ -1,22 +1,51 @@
-"""Corpus cleaning pipeline: each stage applies one operator of paperquill.llm to what the one before it kept."""
+"""Corpus cleaning pipeline: each stage applies one operator of paperquill.llm to all that the one before it kept."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from paperquill.llm import decontaminate, near_dup, toxicity
 from paperquill.llm import queries as q
-from paperquill.llm.base import Scratch
+from paperquill.llm.base import Scratch, read_table
+
+#: Near-duplicates are texts whose five-word shingles have at least this similarity, in per cent.
+NEAR_DUP_PERCENT = 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labelled ones among them."""
+    scratch = Scratch(spark, "toxicity")
+    model = q.toxicity_model(docs, read_table(spark, sf_dir, "labels"), scratch)
+    scored = toxicity.score_documents(docs, model, out="_score")
+    return scratch.keep_for(scored.filter(f"_score < {toxicity.THRESHOLD}").drop("_score"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    scratch = Scratch(spark, "near-dup")
+    return scratch.keep_for(near_dup.keep_one(docs, scratch, NEAR_DUP_PERCENT))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth are words of benchmark passages."""
+    scratch = Scratch(spark, "decontaminate")
+    return scratch.keep_for(decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"), scratch))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every kept document, and their decoding."""
+    """Byte-level BPE ids of every kept document, and their decoding, as digests."""
     return q.byte_bpe_digests(docs, public_tokenizers.path(q.BYTE_BPE), public_tokenizers.PATTERN)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", encode),
+]
 
-#: No stage of these can be said in SQL as a whole: the classifier is trained, and the encoder is a merge loop.
+#: The stages as a whole can't be said in SQL: a classifier is trained, and the encoder merges until no pair is left.
 ORACLE_SQL = None
 
 
