@@ -16,10 +16,10 @@ def cluster_by_gap(df: DataFrame, group: list[str], position: str, tolerance: fl
 def consecutive_runs(df: DataFrame, group: list[str], order: list[str], value: str, least: int = 5) -> DataFrame:
     """Runs of rows, one after the other, whose values go up by one: group, first, last, length."""
     w = Window.partitionBy(*group).orderBy(*order)
-    d = df.withColumn("_n", F.row_number().over(w))
-    return d.groupBy(*group, (F.col(value) - F.col("_n")).alias("_island"), F.lit(0).alias("_z")).agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length"), F.min("_n").alias("_a"), F.max("_n").alias("_b")).filter(
-        (F.col("length") >= least) & (F.col("_b") - F.col("_a") + 1 == F.col("length"))
-    ).select(*group, "first", "last", "length")
+    new = F.coalesce((F.col(value) - F.lag(value).over(w) != 1).cast("int"), F.lit(1))
+    run = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = run.groupBy(*group, "_run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length"))
+    return got.filter(F.col("length") >= least).drop("_run")
 
 
 def longest_block(df: DataFrame, group: list[str], order: str, inside: str, neutral: str | None = None) -> DataFrame:
