@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch where the session still has Spark's default of 10,000: texts are long.
-ARROW_ROWS = 1024
+ARROW_ROWS = 512
 _own_scratch = "/tmp/paperquill-scratch"
 
 

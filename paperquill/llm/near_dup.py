@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Scratch, small_batches, texts
@@ -28,7 +28,8 @@ MARGIN = 0.12
 #: A pair at the threshold is missed by all bands with at most this probability.
 MISSED = 1e-5
 BLOCK = 256
-REMEMBERED = 400_000
+#: Words that a worker remembers, and shingles that are sketched at once, at most (a longer text is sketched by itself).
+REMEMBERED, AT_ONCE = 200_000, 200_000
 BITMAP_BITS = 24
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -75,6 +76,16 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Registers (uint16) of each set; of an empty one all zero."""
+    parts, first, n = [], 0, 0
+    for i, s in enumerate(sets):
+        if i > first and n + len(s) > AT_ONCE:
+            parts.append(_sketch(sets[first:i]))
+            first, n = i, 0
+        n += len(s)
+    return np.concatenate([*parts, _sketch(sets[first:])])
+
+
+def _sketch(sets: list[np.ndarray]) -> np.ndarray:
     m = REGISTERS
     low = np.full((len(sets), m), np.inf)
     size = np.array([len(s) for s in sets], np.int64)
@@ -148,12 +159,15 @@ def _sketches(docs: DataFrame, text: str, k: int, bands: int, rows: int) -> Data
     return docs.mapInArrow(run, "row long, doc_id long, n long, key1 long, key2 long, bands array<long>, registers binary")
 
 
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
+
+
 def _bitmap(nodes: DataFrame, column: str):
     """Bits of the hashes of some numbers: 2 MB whatever their number, so it may be broadcast; false positives are harmless."""
-    words = nodes.selectExpr(f"`{column}` & {(1 << BITMAP_BITS) - 1} AS bit").selectExpr("shiftright(bit, 6) AS w", "shiftleft(1L, CAST(bit & 63 AS INT)) AS b")
+    words = nodes.select(_bit(column).alias("bit")).selectExpr("shiftright(bit, 6) AS w", "shiftleft(1L, bit & 63) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b")).collect():
-        out[w] = b
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return nodes.sparkSession.sparkContext.broadcast(out)
 
 
@@ -163,15 +177,14 @@ def _sets(docs: DataFrame, wanted, k: int) -> DataFrame:
     def run(batches):
         bits = wanted.value
         for b in batches:
-            row = b.column("row").to_numpy()
-            at = row & ((1 << BITMAP_BITS) - 1)
+            at = b.column("bit").to_numpy()
             take = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
             if len(take):
                 sub = b.take(pa.array(take))
-                sets = [shingles(t, k) for t in texts(sub, "text")]
-                yield pa.RecordBatch.from_arrays([sub.column("row"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "set"])
+                sets = [shingles(t, k).tobytes() for t in texts(sub, "text")]
+                yield pa.RecordBatch.from_arrays([sub.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
 
-    return docs.mapInArrow(run, "row long, set binary")
+    return docs.select("row", _bit("row").alias("bit"), "text").mapInArrow(run, "row long, set binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
