@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, compare_key, normalize_line, normalize_prompt_text, strip
+from .text import blank, compare_key, nfc, normalize_line, normalize_prompt_text, strip
 
 #: Wording of prompts by language.
 PROMPTS = {
@@ -51,6 +51,10 @@ def _look_up(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def nfc_each(choices: Column) -> Column:
+    return F.when(F.size(choices) > 0, F.split(nfc(F.array_join(choices, "\x1f", "")), "\x1f")).otherwise(choices)
+
+
 def canonical_subject(c: Column) -> Column:
     bare = strip(F.regexp_replace(F.translate(c, "_", " "), r"(?U)\s+", " "))
     return F.coalesce(_look_up(SUBJECT_NAMES, F.lower(bare)), bare)
@@ -100,9 +104,7 @@ def to_four(question: Column, choices: Column, answer: Column) -> tuple[Column,
 def line_key(question: Column, choices: Column, with_nfc: bool = True) -> Column:
     """Key of a question and its options, in order, as extracted lines."""
     if with_nfc:
-        from .text import nfc
-
-        question, choices = nfc(question), F.split(nfc(F.array_join(choices, "\x1f")), "\x1f")
+        question, choices = nfc(question), nfc_each(choices)
     return F.concat(normalize_line(question, False), F.lit("||"), F.array_join(F.transform(choices, lambda c: normalize_line(c, False)), "|"))
 
 
@@ -125,9 +127,7 @@ def clean_option(c: Column, with_nfc: bool = True) -> Column:
 def format_question(question: Column, choices: Column, language: str = "en", with_nfc: bool = True) -> Column:
     """The text of a question in a prompt."""
     if with_nfc:
-        from .text import nfc
-
-        question, choices = nfc(question), F.split(nfc(F.array_join(choices, "\x1f")), "\x1f")
+        question, choices = nfc(question), nfc_each(choices)
     clean = lambda c: normalize_prompt_text(c, False)
     p = PROMPTS[language]
     options = F.array_join(F.transform(choices, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), clean(c))), "\n")

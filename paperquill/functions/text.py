@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in for it. Null stays null."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

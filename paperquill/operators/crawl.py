@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.papers import follow_link, is_not_paper, is_paper, paper_details
 from ..functions.text import last_slug, page_url, url_host, url_path
@@ -15,7 +16,7 @@ from .joins import longest_match
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as seen from its page; null for what is no URL."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mcq import nfc_each
 from ..functions.text import compare_key, jaccard, overlap, shingles
 
 NEAR_DUP = 0.5
@@ -32,12 +33,7 @@ def unique_ids(df: DataFrame, id_col: str, order: Column | list[Column]) -> Data
 def question_grams(df: DataFrame, with_nfc: bool = True) -> DataFrame:
     """df (question, choices) with sq and sa, grams of the question and of it with its options, and opts, the options' keys."""
     whole = F.concat("question", F.array_join("choices", ""))
-    if with_nfc:
-        from ..functions.text import nfc
-
-        df = df.withColumn("_c", F.split(nfc(F.array_join("choices", "\x1f")), "\x1f"))
-    else:
-        df = df.withColumn("_c", F.col("choices"))
+    df = df.withColumn("_c", nfc_each(F.col("choices")) if with_nfc else F.col("choices"))
     return (
         df.withColumn("sq", shingles(compare_key(F.col("question"), with_nfc)))
         .withColumn("sa", shingles(compare_key(whole, with_nfc)))

@@ -34,26 +34,25 @@ def canonical_by_mode(df: DataFrame, column: str, order: str, key: Column | None
     return df.withColumn("_key", k).join(best, "_key", "left").withColumn(column, F.coalesce("_best", column)).drop("_key", "_best")
 
 
-def longest_match(df: DataFrame, slug: Column, names: DataFrame, name: str = "name", row_key: str = "_row") -> DataFrame:
+def longest_match(df: DataFrame, slug: Column, names: DataFrame, name: str = "name") -> DataFrame:
     """df with a column site_name: the longest dictionary name that a slug holds between hyphens, null if none.
 
-    A slug's runs of up to as many hyphen-separated parts as the longest name has are looked up by a hash join, so each
-    slug is met by the names it holds only. 'sinhala-medium' is in nearly all slugs and names no subject. Of names of
-    one length the first in the alphabet counts. row_key has to tell rows apart, or not to exist.
+    The distinct slugs' runs of up to as many hyphen-separated parts as the longest name has are looked up by a hash join,
+    so each slug is met by the names it holds only. 'sinhala-medium' is in nearly all slugs and names no subject. Of names
+    of one length the first in the alphabet counts.
     """
-    own = row_key not in df.columns
-    rows = df.withColumn(row_key, F.monotonically_increasing_id()) if own else df
-    parts = F.split(F.regexp_replace(F.lower(slug), "sinhala-?medium", "-"), "-")
-    words = F.size(F.split(F.col(name), "-"))
-    longest = names.agg(F.max(words)).first()[0] or 0
+    rows = df.withColumn("_slug", slug)
+    slugs = rows.select("_slug").filter("_slug is not null").distinct()
+    longest = names.agg(F.max(F.size(F.split(F.col(name), "-")))).first()[0] or 1
     lookup = names.select(F.col(name).alias("_name")).distinct()
     if lookup.count() <= MAX_BROADCAST:
         lookup = F.broadcast(lookup)
-    runs = rows.select(row_key, parts.alias("_p")).select(row_key, "_p", F.posexplode("_p").alias("_i", "_w"))
-    runs = runs.select(row_key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(max(longest, 1))), lambda n: F.array_join(F.slice("_p", F.col("_i") + 1, n), "-")))).alias("_name"))
-    best = runs.join(lookup, "_name").groupBy(row_key).agg(F.min_by("_name", F.struct(-F.char_length("_name"), F.col("_name"))).alias("site_name"))
-    out = rows.join(best, row_key, "left")
-    return out.drop(row_key) if own else out
+    parts = F.split(F.regexp_replace(F.lower("_slug"), "sinhala-?medium", "-"), "-")
+    runs = slugs.select("_slug", parts.alias("_p")).select("_slug", "_p", F.posexplode("_p").alias("_i", "_w"))
+    of = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice("_p", F.col("_i") + 1, n), "-"))
+    runs = runs.select("_slug", F.explode(F.array_distinct(of)).alias("_name"))
+    best = runs.join(lookup, "_name").groupBy("_slug").agg(F.min_by("_name", F.struct(-F.char_length("_name"), F.col("_name"))).alias("site_name"))
+    return rows.join(best, "_slug", "left").drop("_slug")
 
 
 def match_keys(questions: DataFrame, keys: DataFrame, least: float = 0.9) -> DataFrame:

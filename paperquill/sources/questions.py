@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-METADATA = T.StructType.fromDDL(
-    "difficulty string, grade int, type string, term int, year int, region string, source string, pdf string, n_options int, needs_context boolean, original_n_options int"
-)
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType())}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema of 'name kind, ...'; it needs no session, unlike DDL."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in columns.split(","))])
+
+
+METADATA = _struct("difficulty string, grade int, type string, term int, year int, region string, source string, pdf string, n_options int, needs_context boolean, original_n_options int")
 #: answer is read as text: it may be a number or an option.
-RAW = T.StructType.fromDDL("q_no int, subject string, category string, question string, choices array<string>, answer string").add("metadata", METADATA)
-TRAIN = T.StructType.fromDDL(
-    "id string, subject string, category string, question string, choices array<string>, answer int, grade int, difficulty string, year int, term int, region string, source string, dataset string, original_n_options int"
-)
-PREDICTIONS = T.StructType.fromDDL("id string, subject string, category string, answer int, pred int, raw_output string, correct boolean")
+RAW = _struct("q_no int, subject string, category string, question string, choices strings, answer string").add("metadata", METADATA)
+TRAIN = _struct("id string, subject string, category string, question string, choices strings, answer int, grade int, difficulty string, year int, term int, region string, source string, dataset string, original_n_options int")
+PREDICTIONS = _struct("id string, subject string, category string, answer int, pred int, raw_output string, correct boolean")
 PAPERS = ["grade", "subject", "term", "year", "region", "has_answers", "source_page", "pdf_url", "local_path", "sha256"]
 
 
