@@ -18,7 +18,7 @@ import re
 import struct
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 from json import loads
 
 import numpy as np
@@ -36,7 +36,7 @@ from .base import gather, small_batches, texts
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = np.iinfo(np.int64).min
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Printable characters up to U+024F: none of them combines, and each is lowered by itself.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
 ASCII = bytes(range(128))
@@ -114,13 +114,17 @@ class ChunkEncoder:
         if self.end is not None:
             for p in parts:
                 p.append(b" ")
-        chunks = [c for p in parts for c in p]
-        new = list({c for c in chunks if c not in self.known})
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = list({c for c in chunks if c not in self.known})
-        self._learn(new, [self._chunk(c) for c in new])
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        chunks = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            strange = [chunks[i] for i in miss.tolist()]
+            new = list(dict.fromkeys(strange))
+            if len(self.known) + len(new) > REMEMBERED:
+                self.forget()
+                new, strange, miss = list(dict.fromkeys(c for c in chunks if c not in self.known)), chunks, slice(None)
+            self._learn(new, [self._chunk(c) for c in new])
+            at[miss] = np.fromiter(map(self.known.__getitem__, strange), np.int64, len(strange))
         lens = self.lens[at]
         ends = np.concatenate([[0], np.cumsum(lens)])
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
