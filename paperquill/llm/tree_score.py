@@ -22,6 +22,7 @@ RAW = set("script style textarea title noscript iframe xmp noembed noframes temp
 DROPPED = set("head script style noscript iframe template svg math canvas object embed audio video nav header footer aside form button select option textarea input label fieldset menu dialog map title".split())
 BLOCKS = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS | {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+LISTS = set("div section ul ol dl table tbody tr td center".split())
 #: An open element of these names ends where a new one of the given names begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -41,12 +42,12 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "weight", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "weight", "points", "length", "linked", "links")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: int = 0):
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
         self.children: list = []  # nodes and strings
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
 
 
 def _marks(attributes: str) -> tuple[bool, int]:
@@ -142,6 +143,9 @@ def measure(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.length += node.length
             node.parent.linked += node.linked
+            node.parent.links += node.links + (node.tag == "a")
+    for node in order:  # menus that nothing else marks
+        node.dropped |= node.tag in LISTS and node.links > 1 and link_density(node) > 0.6
     return order
 
 
