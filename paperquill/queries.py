@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import mcq, papers, text
-from .operators import crawl, dedup, joins, metrics, sampling, windows
+from .operators import crawl, dedup, joins, metrics, parse, sampling, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -493,3 +493,37 @@ def consecutive_runs(spark, d):
 def longest_block(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "view").alias("ok"))
     return windows.longest_block(e, ["user_id"], "event_id", "ok")
+
+
+# -- papers
+
+
+def paper_lines(spark, d):
+    """Forty parts to a paper: a line with number and name, two with options, and at its end a key of four pairs a line."""
+    q = questions(spark, d).select(F.floor(F.col("id") / 40).alias("paper"), (F.col("id") % 40 + 1).alias("n"), "id", "question", "choices")
+    option = lambda i: F.concat(F.lit(f"({i}) "), F.get("choices", F.lit(i - 1)))
+    number = F.lpad(F.col("n").cast("string"), 2, "0")
+    body = q.select("paper", (F.col("n") * 10).alias("at"), F.posexplode(F.array(
+        F.concat(number, F.lit(". which "), "question"), F.concat_ws("  ", option(1), option(2)), F.concat_ws("  ", option(3), option(4))
+    )).alias("k", "text"))
+    key = q.select("paper", (1000 + F.floor((F.col("n") - 1) / 4)).alias("at"), "n", F.concat(number, F.lit(") "), (F.col("id") % 4 + 1).cast("string")).alias("pair"))
+    key = key.groupBy("paper", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "pair"))), lambda s: s["pair"]), "  ").alias("text"))
+    heading = q.select("paper").distinct().select("paper", F.lit(999).cast("long").alias("at"), F.lit(0).alias("k"), F.lit("Marking scheme").alias("text"))
+    lines = body.unionByName(key.withColumn("k", F.lit(0)).select("paper", "at", "k", "text")).unionByName(heading)
+    box = [F.lit(float(x)).alias(n) for n, x in (("x0", 50), ("y0", 100), ("x1", 400), ("y1", 110))]
+    return lines.select(F.concat(F.lit("paper-"), F.col("paper").cast("string")).alias("paper_id"), (F.col("at") * 10 + F.col("k")).cast("int").alias("line_no"), "text", F.lit(0).alias("page"), *box)
+
+
+@query(f"""SELECT 'paper-' || id // 40 AS paper_id, 'question' AS kind, CAST(id % 40 + 1 AS INTEGER) AS q_no, 'which ' || question AS question, array_to_string(choices[1:4], '|') AS choices, CAST(id % 4 + 1 AS INTEGER) AS answer, 'pairs' AS method FROM {MCQ}""")
+def parse_mcqs(spark, d):
+    got = parse.parse_papers(paper_lines(spark, d))
+    return got.withColumn("choices", F.array_join("choices", "|"))
+
+
+@query(f"""SELECT 'paper-' || id // 40 AS paper_id, CAST(count(*) AS BIGINT) AS answers, string_agg(CAST(id % 4 + 1 AS VARCHAR), '' ORDER BY id) AS key FROM {MCQ} GROUP BY id // 40""")
+def answer_keys(spark, d):
+    """Keys of the same papers without their questions, as files that have a key only."""
+    got = parse.parse_papers(paper_lines(spark, d).filter("line_no >= 10000"))
+    pairs = F.array_sort(F.collect_list(F.struct("q_no", "answer")))
+    return got.groupBy("paper_id").agg(F.count("answer").alias("answers"), F.array_join(F.transform(pairs, lambda s: s["answer"].cast("string")), "").alias("key"))
+
