@@ -61,13 +61,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDO
         F.lower("anchor").alias("anchor"), "before", "size", "items", window.alias("window"), F.xxhash64(window).alias("hash"),
         F.lower(F.get("words", F.lit(0))).alias("first"), F.lower(F.get("words", F.col("size") - 1)).alias("last"),
     )
-    if index.count() <= MAX_BROADCAST:
+    small = index.count() <= MAX_BROADCAST
+    if small:
         keys = F.broadcast(keys)
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_ANY_CASE), F.lit(0))
     marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.concat(words, F.array(F.lit(END))).alias("w"))
     seen = marked.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "word"))
+    at, total = F.col("pos") - F.col("before"), F.size("w") - 1
+    if not small:  # positions are shuffled, so each takes along the words that a window around it can have, not them all
+        from_ = F.greatest(F.col("pos") - (n - 1), F.lit(0))
+        seen = seen.select("row", "doc_id", total.alias("total"), from_.alias("from"), F.slice("w", from_ + 1, F.lit(2 * n - 1)).alias("w"), "pos", "word")
+        at, total = at - F.col("from"), F.col("total")
     found = seen.join(keys, F.lower("word") == F.col("anchor"))
-    at = F.col("pos") - F.col("before")
     # No lambda here: it would take the join out of generated code, and each position would then copy its document.
     there = F.translate(F.array_join(F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("size")), " "), UPPER, LOWER)
     # the ends of the window first, for that is cheap; then its hash, and then its words
@@ -76,8 +81,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDO
     is_end = F.col("size") == 0
     found = found.filter(is_end | agrees).select(
         "row", "doc_id", "items",
-        F.when(is_end, F.size("w") - 1).alias("n_words"),
-        F.when(~is_end, F.struct(at.alias("at"), F.col("size"))).alias("hit"),
+        F.when(is_end, total).alias("n_words"),
+        F.when(~is_end, F.struct((F.col("pos") - F.col("before")).alias("at"), F.col("size"))).alias("hit"),
     )
     docs_hit = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
