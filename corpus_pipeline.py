@@ -18,19 +18,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "toxicity")
     model = q.toxicity_model(docs, read_table(spark, sf_dir, "labels"), scratch)
     scored = toxicity.score_documents(docs, model, out="_score")
-    return scratch.keep_for(scored.filter(f"_score < {toxicity.THRESHOLD}").drop("_score"))
+    return scored.filter(f"_score < {toxicity.THRESHOLD}").drop("_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id."""
     scratch = Scratch(spark, "near-dup")
-    return scratch.keep_for(near_dup.keep_one(docs, scratch, NEAR_DUP_PERCENT))
+    return near_dup.keep_one(docs, scratch, NEAR_DUP_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are words of benchmark passages."""
     scratch = Scratch(spark, "decontaminate")
-    return scratch.keep_for(decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"), scratch))
+    return decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"), scratch)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return scratch.keep_for(STAGES[-1][1](spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

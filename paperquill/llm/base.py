@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,39 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: (weak reference to the JVM's relation, session, path) of tables that are deleted once no plan has the relation.
+_watched: list[tuple] = []
+
+
+def _relation(df: DataFrame):
+    return df._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+
+
+def sweep() -> None:
+    """Delete the tables that no plan, of whatever DataFrame is derived from them, refers to any more."""
+    for entry in list(_watched):
+        weak, spark, path = entry
+        try:
+            gone = weak.get() is None
+        except Exception:  # of a session that has ended
+            _watched.remove(entry)
+            continue
+        if gone:
+            _watched.remove(entry)
+            _delete(spark, path)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder, so that no lineage hangs on an executor's disk.
 
-    save() writes and rereads; drop() deletes a table that nothing reads any more; keep_for() ties the rest to the
-    result, with whose last reference they go.
+    save() writes and rereads; drop() deletes a table that nothing reads any more. The rest goes when the JVM has dropped
+    every plan that reads it: later, when another table is saved.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if self.root.startswith(f"file://{_own_scratch}/"):
+            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), True)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -60,22 +85,23 @@ class Scratch:
         self.free()
         out = self.spark.read.schema(schema).parquet(path)
         out._paperquill_path = path
+        self.tie(path, out)
         return out
 
+    def tie(self, path: str, table: DataFrame) -> None:
+        """Delete a path when the plans that read the table are gone."""
+        _watched.append((self.spark.sparkContext._jvm.java.lang.ref.WeakReference(_relation(table)), self.spark, path))
+
     def free(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished jobs."""
+        """Let Spark's cleaner remove the shuffle files of finished jobs, and old tables go."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        sweep()
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._paperquill_path)
 
-    def keep_for(self, result: DataFrame) -> DataFrame:
-        result._paperquill_scratch = self
-        weakref.finalize(result, _delete, self.spark, self.root)
-        return result
-
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""

@@ -40,7 +40,7 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "brown"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model, rare = brown.fit(docs.filter(~held_out(7)), scratch)
     rows = brown.score(docs, model, rare, scratch, [F.col("doc_id"), held_out(7).alias("held_out")])
-    return scratch.keep_for(rows.withColumn("train_tokens", F.lit(model.n).cast("long")))
+    return rows.withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> toxicity.Model:
@@ -51,7 +51,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "toxicity"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_documents(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels"), scratch))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
-    return scratch.keep_for(scored.select("doc_id", held_out(4).alias("held_out"), "score", predicted))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", predicted)
 
 
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = read_table(spark, sf_dir, "documents")
     manifest = scratch.save(token_frames.write_shards(docs, folder, public_tokenizers.path(WORD_BPE), 1, shards), "manifest")
-    return scratch.keep_for(token_frames.read_shards(manifest, folder, with_ids=False).withColumnRenamed("crc", "ids_crc32"))
+    scratch.tie(folder, manifest)
+    return token_frames.read_shards(manifest, folder, with_ids=False).withColumnRenamed("crc", "ids_crc32")
 
 
 def decontamination_digests(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
@@ -74,7 +75,7 @@ def decontamination_digests(docs: DataFrame, benchmark: DataFrame, scratch: Scra
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "decontaminate")
-    return scratch.keep_for(decontamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), scratch))
+    return decontamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), scratch)
 
 
 OP4_SQL = r"""
@@ -103,7 +104,7 @@ FROM words LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 
 def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "grid-join")
-    return scratch.keep_for(grid_join.near_vectors(read_table(spark, sf_dir, "embeddings"), scratch, 0.98))
+    return grid_join.near_vectors(read_table(spark, sf_dir, "embeddings"), scratch, 0.98)
 
 
 #: Tools that the turns of a conversation are taken to call, and what their arguments have to be.
@@ -126,7 +127,7 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     depends = asked.select("conv_id", call_id(0).alias("call_id"), call_id(2).alias("after"))
     linked = tool_calls.link(calls, results, depends, TOOLS, scratch)
     rows = linked.select("conv_id", "call_id", "name", F.col("level").cast("long").alias("level"), "status", F.array_join("problems", "; ").alias("problems"), F.col("n_results").cast("long").alias("n_results"), "record")
-    return scratch.keep_for(rows)
+    return rows
 
 
 OP6_SQL = r"""
@@ -172,7 +173,7 @@ def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = revisits.resolve(records, scratch)
     line = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    return scratch.keep_for(out.withColumn("headers", line))
+    return out.withColumn("headers", line)
 
 
 OP7_SQL = r"""
@@ -207,7 +208,7 @@ def op8_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near-dup")
     rows = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), scratch, percent=85)
-    return scratch.keep_for(rows.select("doc_id", "n_shingles", "component_id", "kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -328,3 +328,24 @@ def test_pipeline(spark):
     assert docs.count() > 100
     done = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert done.count() == docs.count()
+
+
+def test_tables_live_as_long_as_plans_that_read_them(spark, scratch):
+    import gc
+    import os
+
+    def made():
+        return scratch.save(spark.range(10).withColumnRenamed("id", "n"), "kept").select((F.col("n") + 1).alias("m"))
+
+    derived = made()
+    lost = scratch.save(spark.range(3), "lost")
+    path = lost._paperquill_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    del lost
+    for _ in range(20):
+        gc.collect()
+        scratch.free()
+        if not os.path.isdir(path):
+            break
+    assert not os.path.isdir(path)
+    assert derived.agg(F.sum("m")).first()[0] == 55
