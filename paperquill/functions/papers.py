@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import clean_filename, url_path
@@ -17,6 +17,69 @@ TERMS = {"1st": 1, "2nd": 2, "3rd": 3, "first": 1, "second": 2, "third": 3}
 ANSWER_WORDS = ("answer", "marking scheme", "marking-scheme", "marking_scheme")
 TITLE_SUBJECTS = ("Mathematics", "Science", "Sinhala", "History", "English", "Buddhism", "Geography", "Civic", "ICT", "Health", "Art", "Music", "Dancing", "Drama")
 
+# Subjects by the names that URLs have for them, and names of subjects that are not wanted.
+SUBJECTS = {
+    "History": ["history"],
+    "Drama and Theatre": ["drama", "drama-and-theatre"],
+    "Dancing": ["dancing", "dance"],
+    "Eastern Music": ["eastern-music", "oriental-music"],
+    "Arts": ["art", "arts"],
+    "Buddhism": ["buddhism"],
+    "Catholicism": ["catholicism", "catholic"],
+    "Christianity": ["christianity"],
+    "Islam": ["islam", "islamic"],
+    "Buddhist Civilization": ["buddhist-civilization", "buddhist-civilisation"],
+    "History of Sri Lanka": ["history-of-sri-lanka"],
+    "Dancing Indigenous": ["dancing-indigenous", "indigenous-dancing", "indigenous-dance"],
+    "Citizenship Education": ["civic-education", "citizenship-education", "civics", "civic"],
+    "Health and Physical Science": ["health-and-physical-education", "health-and-physical-science", "health-physical-education", "health"],
+    "Geography": ["geography"],
+    "Political Science": ["political-science"],
+    "Physics": ["physics"],
+    "Chemistry": ["chemistry"],
+    "Biology": ["biology"],
+    "Science": ["science"],
+    "Sinhala Language and Literature": ["sinhala-language", "sinhala-literature", "sinhala-language-and-literature", "sinhala"],
+    "Business and Accounting Studies": ["business-studies", "business-and-accounting-studies", "business-accounting-studies", "business-and-accounting", "accounting"],
+    "Entrepreneurship Studies": ["entrepreneurship-studies", "entrepreneurship"],
+    "Economics": ["economics"],
+    "Home Economics": ["home-science", "home-economics"],
+    "Biosystems Technology": ["biosystems-technology", "bio-systems-technology"],
+    "Communication and Media Studies": ["communication-and-media-studies", "media-studies", "media"],
+    "Design and Construction Technology": ["design-and-construction-technology", "construction-technology"],
+    "Agriculture and Food Technology": ["agriculture-and-food-technology", "agriculture"],
+}
+SUBJECT_ALIASES = {"oriental music": "Eastern Music"}
+UNWANTED = (
+    "mathematics", "maths", "math", "english", "english-literature", "english-language", "tamil", "second-language-tamil", "second-language-sinhala", "sinhala-second-language", "tamil-language",
+    "ict", "information-and-communication-technology", "art-and-craft", "western-music", "design-and-mechanical-technology", "design-electrical-and-electronic-technology", "electronic-technology",
+    "electrical-and-electronic-technology", "mechanical-technology", "aquatic-bio-resources-technology", "bio-resources-technology", "french", "german", "hindi", "japanese", "korean", "chinese",
+    "arabic", "pali", "sanskrit", "hinduism", "saivaneri", "combined-mathematics", "combined-maths", "higher-mathematics", "engineering-technology", "engineering-technology-et",
+    "science-for-technology", "information-technology", "information-and-communication-technology-ict", "genaral-information-technology", "general-information-technology", "general-english",
+    "business-statistics", "logic", "logic-and-scientific-method", "christian-civilization", "islamic-civilization", "hindu-civilization", "greek-and-roman-civilization", "home-economics-tamil",
+    "russian", "hindi-language", "arabic-language", "chinese-language", "french-language", "german-language", "japanese-language", "korean-language", "russian-language",
+    "tamil-language-and-literature",
+)
+
+
+def wanted_subjects(names: list[str] | None = None) -> list[str]:
+    """The subjects of a list of names or aliases in any case; all without one. An unknown name is an error."""
+    if names is None:
+        return list(SUBJECTS)
+    known = {s.lower(): s for s in SUBJECTS} | SUBJECT_ALIASES
+    unknown = [n for n in names if n.strip() and n.strip().lower() not in known]
+    if unknown:
+        raise ValueError(f"unknown subjects: {', '.join(unknown)}")
+    return [known[n.strip().lower()] for n in names if n.strip()]
+
+
+def subject_names(spark: SparkSession, wanted: list[str] | None = None) -> DataFrame:
+    """name, subject of all names that slugs have; the subject is null where it isn't wanted."""
+    chosen = set(wanted_subjects(wanted))
+    rows = [(n, s if s in chosen else None) for s, names in SUBJECTS.items() for n in names]
+    have = {n for n, _ in rows}
+    return spark.createDataFrame(rows + [(n, None) for n in UNWANTED if n not in have], "name string, subject string")
+
 
 def _any(c: Column, words) -> Column:
     out = F.lit(False)

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperquill.operators import crawl, dedup, joins, metrics, sampling, scoring, windows
+from paperquill.functions import papers as names_of
+from paperquill.operators import browse, crawl, dedup, joins, metrics, sampling, scoring, windows
 
 
 def test_splits_partition_the_input(spark):
@@ -187,3 +188,19 @@ def test_quotas_sum_up(sizes, _):
         left = n - sum(base)
         rank = [sum(rest[j] > rest[i] or rest[j] == rest[i] and j < i for j in range(3)) for i in range(3)]
         assert sum(b + (r < left) for b, r in zip(base, rank)) == n
+
+
+def test_subject_names(spark):
+    rows = {r["name"]: r["subject"] for r in names_of.subject_names(spark, ["history", "Oriental Music"]).collect()}
+    assert rows["history"] == "History" and rows["oriental-music"] == "Eastern Music" and rows["geography"] is None and rows["maths"] is None
+    slug = spark.createDataFrame([("grade-10-history-of-sri-lanka-paper",), ("grade-6-art-and-craft-sinhala-medium",)], "slug string")
+    got = [r["site_name"] for r in joins.longest_match(slug, F.col("slug"), names_of.subject_names(spark)).orderBy("slug").collect()]
+    assert got == ["history-of-sri-lanka", "art-and-craft"]
+
+
+def test_browse(spark):
+    rows = [("1", "History", "q1", ["a", "b"], 2, 1, (2020, 1, "g/x.pdf", False)), ("2", "Arts", "q2", ["a", "b"], None, 2, (None, None, "g/y.pdf", True))]
+    df = spark.createDataFrame(rows, "id string, subject string, question string, choices array<string>, answer int, q_no int, metadata struct<year:int,term:int,pdf:string,needs_context:boolean>")
+    assert browse.browse(df, subject="hist").first()["shown"] == "History | Q1 | 2020 term 1 | g/x.pdf\n\nq1\n   (1) a\n   (2) b   <== answer"
+    assert browse.browse(df, answered=False, n=None).first()["shown"].startswith("Arts | Q2 | ? term ? | g/y.pdf   [needs")
+    assert browse.browse(df, pdf="Y.PDF").count() == 1 and browse.browse(df, n=1).count() == 1
