@@ -21,7 +21,7 @@ NONE = np.int64(1 << 40)
 #: Pieces of more bytes than this are merged with a heap, for the matrix takes a round for each merge.
 LONG = 1024
 #: Cells of one matrix, and pieces that a worker remembers, at most.
-CELLS, REMEMBERED = 1 << 20, 400_000
+CELLS, REMEMBERED = 1 << 20, 250_000
 
 
 def load_ranks(path: str) -> bytes:

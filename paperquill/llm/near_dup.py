@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, small_batches, texts
+from .base import Scratch, small_batches, texts, trim
 from .components import components
 
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65_535
@@ -29,7 +29,7 @@ MARGIN = 0.12
 MISSED = 1e-5
 BLOCK = 256
 #: Words that a worker remembers, and shingles that are sketched at once, at most (a longer text is sketched by itself).
-REMEMBERED, AT_ONCE = 200_000, 200_000
+REMEMBERED, AT_ONCE = 100_000, 200_000
 BITMAP_BITS = 24
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,6 +155,7 @@ def _sketches(docs: DataFrame, text: str, k: int, bands: int, rows: int) -> Data
                 ],
                 names=["row", "doc_id", "n", "key1", "key2", "bands", "registers"],
             )
+        trim()
 
     return docs.mapInArrow(run, "row long, doc_id long, n long, key1 long, key2 long, bands array<long>, registers binary")
 
@@ -183,6 +184,7 @@ def _sets(docs: DataFrame, wanted, k: int) -> DataFrame:
                 sub = b.take(pa.array(take))
                 sets = [shingles(t, k).tobytes() for t in texts(sub, "text")]
                 yield pa.RecordBatch.from_arrays([sub.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
+        trim()
 
     return docs.select("row", _bit("row").alias("bit"), "text").mapInArrow(run, "row long, set binary")
 
@@ -254,6 +256,8 @@ def _verify(percent: int):
                 held.append((node, comp, center, regs, np.frombuffer(s, np.uint64), side))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
         out = solve(held) if len(held) > 1 else []
+        held = []
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return run
@@ -307,23 +311,31 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int, k: int = 5,
     star = spread.select("task", "salt", "node", F.col("node").alias("comp"), (F.col("task") == F.col("node")).alias("center"), nothing.alias("registers"), F.lit(0).alias("side"))
     links = scratch.save(verified(star), "links")
 
-    # labels after the ties: the smallest center of a node, and that one's smallest
-    label = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
-    up = label.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-    label = scratch.save(label.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp")), "labels")
+    label = scratch.save(components(links, scratch).select(F.col("id").alias("node"), F.col("component").alias("comp")), "labels")
     labelled = member.filter("g > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    torn = labelled.groupBy("bucket", "g", "center", "mark").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    torn = torn.groupBy("g", "center", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")  # equal buckets once
-    rest = labelled.join(torn, "bucket").withColumn("w", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("w")).cast("int"))
-    # block i meets every block: task i * w + j, i <= j
-    met = rest.select("bucket", "node", "comp", "w", "block", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("other"))
-    salt = F.least("block", "other").cast("long") * F.col("w") + F.greatest("block", "other")
-    met = met.select(F.col("bucket").alias("task"), salt.cast("int").alias("salt"), "node", "comp", F.lit(False).alias("center"), F.col("block").alias("side"))
+    sides = labelled.groupBy("bucket", "g", "center", "mark", "comp").agg(F.count("*").alias("c"))
+    sides = sides.groupBy("bucket", "g", "center", "mark").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c")).filter("c < g")
+    torn = sides.groupBy("g", "center", "mark").agg(F.min(F.struct("bucket", "main", "c")).alias("t")).select("t.bucket", "t.main", "t.c")  # equal buckets once
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest = labelled.join(torn, "bucket").withColumns({"w": blocks_of(F.col("g") - F.col("c")), "v": blocks_of(F.col("c")), "minor": F.col("comp") != F.col("main")})
+    # w blocks of the nodes outside the bucket's main component meet each other, and the v blocks inside it; those inside are connected
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("w")).otherwise(F.col("v"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    minor = rest.filter("minor")
+    one = minor.select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.least("block", "o") * F.col("w") + F.greatest("block", "o")).alias("salt"), F.col("block").alias("side"))
+    two = minor.select("*", F.explode(up_to(F.col("v"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("block") * F.col("v") + F.col("o")).alias("salt"), F.lit(0).alias("side"))
+    three = rest.filter("not minor").select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("o") * F.col("v") + F.col("block")).alias("salt"), F.lit(1).alias("side"))
+    met = one.unionByName(two).unionByName(three).select(F.col("bucket").alias("task"), "salt", "node", "comp", F.lit(False).alias("center"), "side")
     met = scratch.save(met.join(sized.select("node", "registers"), "node"), "blocks")
     more = scratch.save(verified(met), "links")
-    scratch.drop(met, member, tie, label)
-
-    found = components(links.unionByName(more), scratch)
+    scratch.drop(met, member, tie)
+
+    # the links found last are between components of those found first
+    of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    above = components(between, scratch).select(F.col("id").alias("comp"), F.col("component").alias("top"))
+    single = above.join(label, above.comp == label.node, "left_anti").select(F.col("comp").alias("id"), F.col("top").alias("component"))
+    found = label.join(above, "comp", "left").select(F.col("node").alias("id"), F.coalesce("top", "comp").alias("component")).unionByName(single)
     tied = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # a component's first row: the smallest doc_id, and of its rows the first
     least = tied.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, added_schema, small_batches, texts, with_column
+from .base import Scratch, added_schema, small_batches, texts, trim, with_column
 
 MAX_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 10_000, 4_096, 3, 3.0
 L2, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
 THRESHOLD = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Lists of identity terms: a swap puts another term of the same list in the place of each. A parameter.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -210,5 +210,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
         scorer = shared.value.scorer()
         for b in batches:
             yield with_column(b, out, pa.array([scorer.score(t) for t in texts(b, text)], pa.float64()))
+        scorer.known.clear()
+        trim()
 
     return docs.mapInArrow(run, added_schema(docs, (out, "double")))
