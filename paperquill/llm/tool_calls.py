@@ -61,34 +61,64 @@ def problems(tool: Column, arguments: Column, schemas: dict[str, tuple[Argument,
     return F.array_compact(F.array(*found))
 
 
+def _jump(single: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """Chains of calls with one dependency each (scope, node, to) followed to their first call that has none or several.
+
+    Gives scope, node, to, far (the calls in between, and that one) and done; not done is what runs in a circle. Each
+    round doubles how far a call looks, so a chain takes the logarithm of its length.
+    """
+    now = scratch.save(single.withColumns({"far": F.lit(1), "done": F.lit(False)}), "jump")
+    for _ in range(max(2, n.bit_length() + 2)):
+        ahead = now.select("scope", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        open_ = now.filter("not done").join(ahead, ["scope", "to"], "left")
+        moved = open_.select("scope", "node", F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNull().alias("done"))
+        after = scratch.save(now.filter("done").unionByName(moved), "jump")
+        scratch.drop(now)
+        now = after
+        if now.filter("not done").isEmpty():
+            break
+    return now
+
+
 def levels(calls: DataFrame, depends: DataFrame, scratch: Scratch, key: list[str], on: str = "after") -> DataFrame:
-    """calls (of the key columns only) with a level: 0 without dependencies, else one more than the highest of them.
+    """calls (of the key columns only: scope and name) with a level: 0 without dependencies, else one more than the highest of them.
 
-    depends: the key columns and, in `on`, the last key column's value of a call that has to come before. A dependency on
-    what is no call, or on the call itself, is passed over. What is on a cycle or behind one has a null level. There is
-    one round for each level; a round reads only what has no level yet.
+    depends: the key columns and, in `on`, the name of a call of the same scope that has to come before. A dependency on
+    what is no call, or on the call itself, is passed over. What is on a cycle or behind one has a null level. Chains of
+    single dependencies are followed by doubling; calls with several dependencies take one round for each level that
+    such calls have above one another.
     """
-    scope, name = key[:-1], key[-1]
-    ids = calls.select(*key).filter(" and ".join(f"`{k}` is not null" for k in key)).distinct()
-    edge = depends.select(*key, on).filter(F.col(name) != F.col(on)).distinct()
-    edge = edge.join(ids, key, "left_semi").join(ids.withColumnRenamed(name, on), [*scope, on], "left_semi")
-    open_ = scratch.save(edge, "depends")
-    free = scratch.save(ids.join(open_, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    done, level = [free], 0
-    while not open_.isEmpty():
-        level += 1
-        last = done[-1].select(*scope, F.col(name).alias(on))
-        left = scratch.save(open_.join(last, [*scope, on], "left_anti"), "depends")
-        now = scratch.save(open_.select(*key).distinct().join(left, key, "left_anti").withColumn("level", F.lit(level)), "level")
-        scratch.drop(open_)
-        open_ = left
-        if now.isEmpty():
+    scope, name = key
+    ids = scratch.save(calls.select(F.col(scope).alias("scope"), F.col(name).alias("node")).filter("scope is not null and node is not null").distinct(), "calls")
+    edge = depends.select(F.col(scope).alias("scope"), F.col(name).alias("node"), F.col(on).alias("to")).filter("node <> to").distinct()
+    edge = edge.join(ids, ["scope", "node"], "left_semi").join(ids.withColumnRenamed("node", "to"), ["scope", "to"], "left_semi")
+    edge = scratch.save(edge, "depends")
+    several = edge.groupBy("scope", "node").agg(F.count("*").alias("n"))
+    many = several.filter("n > 1").select("scope", "node")
+    chain = _jump(edge.join(many, ["scope", "node"], "left_anti").select("scope", "node", "to"), scratch, ids.count())
+    known = scratch.save(ids.join(several, ["scope", "node"], "left_anti").withColumn("level", F.lit(0)), "level")
+    found, last = [known], known
+    # dependencies of calls that have several, on the first calls of the chains that lead there
+    first = chain.filter("done").select("scope", F.col("node").alias("to"), F.col("to").alias("root"), "far")
+    hops = edge.join(many, ["scope", "node"], "left_semi").join(first, ["scope", "to"], "left")
+    hops = scratch.save(hops.select("scope", "node", F.coalesce("root", "to").alias("to"), F.coalesce("far", F.lit(0)).alias("far"), F.lit(None).cast("int").alias("low")), "hops")
+    while not hops.isEmpty():
+        seen = hops.join(last.select("scope", F.col("node").alias("to"), "level"), ["scope", "to"], "left")
+        seen = seen.select("scope", "node", "to", "far", F.coalesce("low", "level").alias("low"))
+        seen = scratch.save(seen, "hops")
+        ready = seen.groupBy("scope", "node").agg(F.max(F.col("low") + F.col("far") + 1).alias("level"), F.count("low").alias("have"), F.count("*").alias("n"))
+        last = scratch.save(ready.filter("have = n").select("scope", "node", F.col("level").cast("int").alias("level")), "level")
+        if last.isEmpty():
             break
-        done.append(now)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        found.append(last)
+        left = scratch.save(seen.join(last, ["scope", "node"], "left_anti"), "hops")
+        scratch.drop(hops, seen)
+        hops = left
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    along = chain.filter("done").join(out.withColumnRenamed("node", "to"), ["scope", "to"]).select("scope", "node", (F.col("level") + F.col("far")).cast("int").alias("level"))
+    return out.unionByName(along).select(F.col("scope").alias(scope), F.col("node").alias(name), "level")
 
 
 def link(calls: DataFrame, results: DataFrame, depends: DataFrame, schemas: dict[str, tuple[Argument, ...]], scratch: Scratch) -> DataFrame:

@@ -286,6 +286,14 @@ def test_tool_calls(spark, scratch):
     assert tool_calls.link(c.limit(0), r, df(depends, "conv_id long, call_id string, after string"), schemas, scratch).count() == 0
 
 
+def test_levels_of_long_chains_and_joins(spark, scratch):
+    edges = [(0, f"c{i}", f"c{i - 1}") for i in range(1, 300)] + [(0, "m", "c299"), (0, "m", "c10"), (0, "n", "m"), (0, "o", "n"), (0, "o", "m"), (0, "p", "o"), (0, "q", "r"), (0, "r", "s"), (0, "s", "q"), (0, "t", "q"), (0, "u", "t"), (0, "u", "m")]
+    nodes = sorted({x for e in edges for x in e[1:]})
+    calls = spark.createDataFrame([(0, x) for x in nodes] + [(1, "c5")], "conv_id long, call_id string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(calls, spark.createDataFrame(edges, "conv_id long, call_id string, after string"), scratch, ["conv_id", "call_id"]).collect()}
+    assert got == {**{(0, f"c{i}"): i for i in range(300)}, (0, "m"): 300, (0, "n"): 301, (0, "o"): 302, (0, "p"): 303, (1, "c5"): 0}
+
+
 RECORD = "record long, url string, ts long, kind string, etag string, modified string, digest string, headers map<string,string>"
 
 
