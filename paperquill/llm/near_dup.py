@@ -264,17 +264,21 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: row (its number in the scan of docs), doc_id, n_shingles, component_id, kept, first.
+    """One row per document: row (its number), doc_id, n_shingles, component, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets. component_id is the smallest
-    doc_id that links reach, and kept tells whether it is the row's own; first is true for one row of each component, and
-    differs from kept only where doc_ids repeat. A null or empty text has no shingles and is linked with nothing. A null
-    doc_id is passed over when the smallest is sought; a component without any other has a null component_id, and keeps
-    its rows. docs is read twice and has to come from a table, so that its rows have the same numbers both times.
+    doc_id that links reach, and kept tells whether it is the row's own. A null or empty text has no shingles and is linked
+    with nothing. A null doc_id is passed over when the smallest is sought; a component without any other has a null
+    component_id, and keeps its rows. docs is read once: its rows are stored with their numbers.
     """
-    small_batches(docs.sparkSession)
+    return _judge(scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "rows"), scratch, percent, k)
+
+
+def _judge(numbered: DataFrame, scratch: Scratch, percent: int, k: int) -> DataFrame:
+    """near_duplicates() of a stored table of row, doc_id and text: a scan numbers rows by its splits, which change with
+    the cores that are registered when it is planned, so numbers are taken once and read by all steps."""
+    small_batches(numbered.sparkSession)
     bands, rows = banding(percent / 100)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = scratch.save(_sketches(numbered, "text", k, bands, rows), "sketches")
     classes = scratch.save(made.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = made.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
@@ -350,7 +354,8 @@ def keep_one(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int = 5) -
 
     Documents without shingles all stay. Columns are unchanged.
     """
-    judged = scratch.save(near_duplicates(docs, scratch, percent, k), "judged")
+    stored = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    judged = scratch.save(_judge(stored.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, percent, k), "judged")
     firsts = judged.filter("kept and component is not null").groupBy("component").agg(F.min("row").alias("_row")).select("_row")
     stay = firsts.unionByName(judged.filter("component is null").select(F.col("row").alias("_row")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

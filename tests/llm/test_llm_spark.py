@@ -216,6 +216,30 @@ def test_keep_one(spark, scratch):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 5, 6, 7]
 
 
+def test_near_duplicates_when_splits_change_between_scans(spark, scratch, monkeypatch, tmp_path):
+    # as when an executor is lost or joins: the scans of one run are cut differently
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(0, 80, 2)]
+    rows += [(d + 1, t + " more") for d, t in rows[::4]]
+    spark.createDataFrame(rows, DOC).repartition(8).write.parquet(f"{tmp_path}/docs")
+    save, cut = Scratch.save, iter(range(1 << 30))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def moved(self, df, name="t"):
+        out = save(self, df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ["700", "128m"][next(cut) % 2])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", moved)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, scratch, 80).collect()}
+        kept = near_dup.keep_one(docs, scratch).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {d: d - d % 2 for d, _ in rows}
+    assert sorted(map(tuple, kept)) == [(d, t) for d, t in sorted(rows) if d % 2 == 0]
+
+
 def test_grid_join_edges(spark, scratch):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 0.0, 0.0]
