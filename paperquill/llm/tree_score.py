@@ -22,6 +22,7 @@ RAW = set("script style textarea title noscript iframe xmp noembed noframes temp
 DROPPED = set("head script style noscript iframe template svg math canvas object embed audio video nav header footer aside form button select option textarea input label fieldset menu dialog map title".split())
 BLOCKS = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS | {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+PARAGRAPHS = {"p", "pre", "blockquote"}
 LISTS = set("div section ul ol dl table tbody tr td center".split())
 #: An open element of these names ends where a new one of the given names begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -33,6 +34,8 @@ NOT_ARTICLE = set(
     "modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets gdpr disclaimer login alert hidden".split()
 )
+#: Those of them that mark what readers wrote, however much of it there is.
+READERS = set("comment comments commentlist disqus replies respond".split())
 ARTICLE = set("article body content entry main post story text page blog column hentry".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -42,17 +45,22 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "weight", "points", "length", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "marked", "menu", "weight", "points", "length", "linked", "links")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: int = 0):
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
+        self.marked, self.menu = "", False
         self.children: list = []  # nodes and strings
         self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
 
 
-def _marks(attributes: str) -> tuple[bool, int]:
-    """(is it no part of an article, its weight) from an element's attributes."""
-    dropped, weight = False, 0
+def _marks(attributes: str) -> tuple[bool, str, int]:
+    """(is it no part of an article, do class and id say so, its weight) from an element's attributes.
+
+    What class and id say is "", "likely" or "readers" (a name that is one of READERS). A name of ARTICLE words alone,
+    as in class="post no-comments", outweighs the other names.
+    """
+    dropped, weight, marked, article = False, 0, "", False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
@@ -60,13 +68,15 @@ def _marks(attributes: str) -> tuple[bool, int]:
             if words & ARTICLE:
                 weight += 25
             if words & NOT_ARTICLE:
-                dropped = True
+                marked = "readers" if marked == "readers" or READERS & set(value.split()) else "likely"
                 weight -= 25
+            names = [set(WORDS.findall(x)) for x in value.split()]
+            article |= any(x & ARTICLE and not x & NOT_ARTICLE for x in names)
         elif name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             dropped = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             dropped = True
-    return dropped, weight
+    return dropped, "" if article else marked, weight
 
 
 def parse(page: str) -> Node:
@@ -115,8 +125,10 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not root and node.tag in SIBLINGS[tag]:
                 top = node.parent
-        dropped, weight = _marks(m[3]) if m[3] and not m[3].isspace() else (False, 0)
-        node = Node(tag, top, tag in DROPPED or dropped and tag not in ("html", "body", "article", "main"), weight)
+        dropped, marked, weight = _marks(m[3]) if m[3] and not m[3].isspace() else (False, "", 0)
+        free = tag in ("html", "body", "article", "main")
+        node = Node(tag, top, tag in DROPPED or dropped and not free, weight)
+        node.marked = "" if free else marked
         top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -125,6 +137,29 @@ def parse(page: str) -> Node:
             top = node
 
 
+def drop_marked(root: Node) -> None:
+    """Drop what class and id mark, but for elements that hold most of the page's paragraph text without readers' own."""
+    order, stack = [], [(root, False)]
+    held: dict[int, int] = {}
+    while stack:
+        node, running = stack.pop()
+        order.append(node)
+        running = running or node.tag in PARAGRAPHS
+        for c in node.children:
+            if isinstance(c, str):
+                held[id(node)] = held.get(id(node), 0) + running * len(SPACE.sub(" ", c).strip())
+            elif not c.dropped and c.tag != "a":
+                stack.append((c, running))
+    for node in reversed(order):
+        if node.parent is not None and node.marked != "readers":
+            held[id(node.parent)] = held.get(id(node.parent), 0) + held.get(id(node), 0)
+    for node in order:
+        if node.marked and (node.marked == "readers" or 2 * held.get(id(node), 0) <= held.get(id(root), 0)):
+            node.dropped = True
+        elif node.marked:
+            node.weight = max(node.weight, 0)
+
+
 def measure(root: Node) -> list[Node]:
     """Set the text length and the length of linked text of each node; the nodes, children before parents."""
     order, stack = [], [(root, False)]
@@ -145,7 +180,7 @@ def measure(root: Node) -> list[Node]:
             node.parent.linked += node.linked
             node.parent.links += node.links + (node.tag == "a")
     for node in order:  # menus that nothing else marks
-        node.dropped |= node.tag in LISTS and node.links > 1 and link_density(node) > 0.6
+        node.menu = node.tag in LISTS and node.links > 1 and link_density(node) > 0.6
     return order
 
 
@@ -183,7 +218,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             end()
         elif isinstance(c, str):
             held.append(c)
-        elif not c.dropped:
+        elif not c.dropped and not c.menu:
             if c.tag == "br":
                 held.append(" ")
             elif c.tag in BLOCKS:
@@ -195,14 +230,23 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    """Main text of a page, its blocks joined by line feeds; empty where there is none."""
+    """Main text of a page, its blocks joined by line feeds; empty where there is none.
+
+    Class and id are passed over where nothing is left with them.
+    """
     if not page:
         return ""
+    return _extract(page, True) or _extract(page, False)
+
+
+def _extract(page: str, marks: bool) -> str:
     root = parse(page)
+    if marks:
+        drop_marked(root)
     order = measure(root)
     scored: list[Node] = []
     for node in order:
-        if node.dropped or node.tag not in BLOCKS or node.parent is None:
+        if node.dropped or node.menu or node.tag not in BLOCKS or node.parent is None:
             continue
         text = own_text(node)
         if not text or node.tag in ("html", "body", "hr"):
@@ -228,6 +272,13 @@ def extract(page: str | None) -> str:
         up = up.parent
     if up is not None and not up.dropped:
         best = up
+    # Lists of links inside the article are its own; beside running text right in the body they are menus.
+    if best.tag not in ("html", "body"):
+        stack = [best]
+        while stack:
+            node = stack.pop()
+            node.menu = False
+            stack.extend(c for c in node.children if isinstance(c, Node))
     if best.parent is None:
         return "\n".join(blocks([best]))
     least = max(10.0, 0.2 * value[id(best)] if id(best) in value else 10.0)
@@ -235,7 +286,7 @@ def extract(page: str | None) -> str:
     for s in best.parent.children:
         if s is best:
             kept.append(s)
-        elif isinstance(s, Node) and not s.dropped:
+        elif isinstance(s, Node) and not s.dropped and not s.menu:
             if value.get(id(s), 0.0) >= least:
                 kept.append(s)
             elif s.tag == "p" and best.tag not in ("article", "main"):

@@ -115,6 +115,28 @@ def test_tree_score_edges():
     assert tree_score.extract("<body><p>" + "Running text, of a page. " * 9 + "</p><p>Short one.</p><div><a href=x>link</a> <a href=y>list</a></div></body>").endswith("Short one.")
 
 
+@pytest.mark.parametrize("holder", ['div id="content" class="has-sidebar"', 'div class="post no-comments"', 'div class="wrap with-sidebar"', 'div id="widget"'])
+def test_tree_score_spares_what_holds_the_article(holder):
+    assert tree_score.extract(PAGE % f"<{holder}>{BODY}</div>") == "T & U\nOne, two <3.\nThree four, five.\nitem a\nitem b"
+
+
+def test_tree_score_marks():
+    long = "<p>Running text, of a page, with commas. It goes on.</p>" * 3
+    readers = "<p>First, I say, this is a very long comment.</p>" * 40
+    assert "comment" not in tree_score.extract(f'<div class="wrap">{long}</div><div id="comments">{readers}</div>')
+    got = tree_score.extract(f'<div class="has-sidebar"><div>{long}</div><div class="sidebar"><p>Aside, from it.</p></div><div class="comments">{readers}</div></div>')
+    assert got == "\n".join(["Running text, of a page, with commas. It goes on."] * 3)
+    assert tree_score.extract('<div class="comments"><p>Nothing else, on this page.</p></div>') == "Nothing else, on this page."
+
+
+@pytest.mark.parametrize("holder", ["article", "main", 'div class="post"'])
+def test_tree_score_keeps_link_lists_of_the_article(holder):
+    text = "<p>Running text, of a page, with commas. It goes on.</p>" * 3
+    links = "<ul><li><a href=/a>First source</a><li><a href=/b>Second source</a></ul>"
+    got = tree_score.extract(f"<body><div>{links}</div><{holder}>{text}{links}</{holder.split()[0]}></body>")
+    assert got.count("First source") == 1 and got.endswith("First source\nSecond source")
+
+
 def test_sketches_estimate_and_merge():
     base = near_dup.mix(np.arange(1, 5000, dtype=np.uint64))
     a = np.sort(base[:1000])
