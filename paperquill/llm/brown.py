@@ -1,10 +1,13 @@
 """Brown class-based bigram model with exchange clustering.
 
 P(text) is the product over its tokens (the words, then an end) of P(class | class before) * P(word | class). Classes are
-found by exchange: each unit moves to the class where the likelihood of the class bigrams is highest, until none moves.
-A unit is one of the most frequent words, or all rarer words that share an ending (hashed to a fixed number of units),
-so every word, seen or not, has a class, while the table of unit bigrams that the driver clusters has a fixed size.
-All counts (words, unit bigrams, types of each class) are taken over all training texts.
+found by exchange: each word moves to the class where the likelihood of the class bigrams is highest. The most frequent
+words and the endings of all others start it on the driver. Then all words of the head that occur LEAST_OWN times or more
+are exchanged in rounds of Spark tasks over the table of their bigrams, half of them a round, until none moves, a round
+gains nothing, or ROUNDS are over (Model.stopped says which). Words beyond the head, if they occur as often, are put by
+their own neighbours into the best of those classes, once; a neighbour beyond the head counts there as its ending. Only
+rarer and unseen words have the class of their ending (hashed to a fixed number).
+All counts (words, bigrams, types of each class) are taken over all training texts, with the final classes.
 
 Smoothing: a class transition is mixed with the class's own frequency; a word's count is discounted, and what a class
 loses by that is the probability of its unknown word. Over the known words and one unknown word per class, the
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,13 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, small_batches, texts
 
-#: Words whose counts every task has at hand; units of the clustering, and how many of them are words; classes.
+#: Words whose counts every task has at hand; units that start the clustering, and how many of them are words; classes.
 HEAD, UNITS, UNIT_WORDS, CLASSES = 200_000, 1024, 640, 64
+ENDINGS = UNITS - UNIT_WORDS - 1
+#: Words that occur so often have a class by their own neighbours.
+LEAST_OWN = 3
 ROUNDS, MIX = 12, 4.0
+HOLE = 255
 _EDGE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
@@ -36,14 +43,11 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class _Units(dict):
-    """Unit of each word: its own, or that of its last three characters."""
+    """Unit of each word: its own, or that of its last three characters; the unit after all of these is the end."""
 
     def __missing__(self, word: bytes) -> int:
         end = word.strip(_EDGE).decode("utf-8", "replace")[-3:]
-        return UNIT_WORDS + zlib.crc32(end.encode()) % (UNITS - UNIT_WORDS - 1)
-
-
-END_UNIT = UNITS - 1
+        return len(self) + zlib.crc32(end.encode()) % ENDINGS
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -109,6 +113,7 @@ class Model:
     unknown_log: np.ndarray
     discount: float
     least: int
+    stopped: str = ""
 
 
 def _count(docs: DataFrame, text: str) -> DataFrame:
@@ -130,37 +135,225 @@ def _count(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _unit_bigrams(docs: DataFrame, text: str, unit_words: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbouring units over all texts, an end before the first and after the last token."""
+def _pairs(docs: DataFrame, text: str, shared) -> DataFrame:
+    """key = left * units + right, c: neighbouring units over all texts, an end before the first and after the last token."""
+
+    def run(batches):
+        unit = _Units(shared.value)
+        units = len(unit) + ENDINGS + 1
+        flat: list[int] = [units - 1]
+
+        def flush():
+            u = np.array(flat, np.int64)
+            key, c = np.unique(u[:-1] * units + u[1:], return_counts=True)
+            del flat[:-1]
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], names=["key", "c"])
 
-    def count(batches):
-        unit, total = _Units(unit_words), np.zeros(UNITS * UNITS, np.int64)
         for b in batches:
-            flat: list[int] = [END_UNIT]
             for t in texts(b, text):
                 flat.extend(map(unit.__getitem__, tokens(t)))
-                flat.append(END_UNIT)
-            u = np.array(flat, np.int64)
-            total += np.bincount(u[:-1] * UNITS + u[1:], minlength=UNITS * UNITS)
-        rows = total.reshape(UNITS, UNITS)
-        some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[u].tobytes() for u in some], pa.binary())], names=["unit", "counts"])
+                flat.append(units - 1)
+            if len(flat) > 2_000_000:
+                yield flush()
+        yield flush()
+
+    return docs.select(text).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _start(pairs: DataFrame, words: int) -> np.ndarray:
+    """Classes of all units: UNIT_WORDS words and the endings by exchange on the driver, other words -1."""
+    units, first = words + ENDINGS + 1, min(words, UNIT_WORDS)
+    small = first + ENDINGS + 1
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
+    def run(batches):
+        total = np.zeros(small * small, np.int64)
         for b in batches:
-            for u, raw in zip(b.column("unit").to_pylist(), b.column("counts").to_pylist()):
-                row = np.frombuffer(raw, np.int64)
-                total[u] = total[u] + row if u in total else row
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())], names=["unit", "counts"])
-
-    shape = "unit int, counts binary"
-    out = np.zeros((UNITS, UNITS), np.int64)
-    for u, raw in docs.select(text).mapInArrow(count, shape).repartition("unit").mapInArrow(add, shape).collect():
-        out[u] = np.frombuffer(raw, np.int64)
+            key, c = b.column("key").to_numpy(), b.column("c").to_numpy()
+            of = lambda u: np.where(u >= words, u - words + first, np.where(u < first, u, -1))
+            x, y = of(key // units), of(key % units)
+            ok = (x >= 0) & (y >= 0)
+            total += np.bincount(x[ok] * small + y[ok], c[ok], small * small).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "c"])
+
+    got = pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    table = np.zeros(small * small)
+    table[got.column("at").to_numpy()] = got.column("c").to_numpy()
+    cls = exchange(table.reshape(small, small))
+    out = np.full(units, -1, np.int64)
+    out[:first], out[words:] = cls[:first], cls[first:]
     return out
 
 
+def _neighbours(pairs: DataFrame, words: int) -> DataFrame:
+    """w, x (binary int32), c (binary int64): the units around each unit; those before it have the number of units added."""
+    units = words + ENDINGS + 1
+    left, right = F.expr(f"cast(key div {units} as int)"), (F.col("key") % units).cast("int")
+    both = pairs.select(left.alias("w"), right.alias("x"), "c").unionByName(pairs.select(right.alias("w"), (left + units).cast("int").alias("x"), "c"))
+
+    def pack(batches):
+        held = [[b.column(k).to_numpy() for k in ("w", "x", "c")] for b in batches]
+        if held:
+            w, x, c = (np.concatenate(k) for k in zip(*held))
+            order = np.argsort(w, kind="stable")
+            w, x, c = w[order], x[order].astype(np.int32), c[order].astype(np.int64)
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            ends = np.append(starts[1:], len(w))
+            for i in range(0, len(starts), 256):
+                at = list(zip(starts[i : i + 256], ends[i : i + 256]))
+                cols = [pa.array(w[starts[i : i + 256]], pa.int32()), pa.array([x[a:b].tobytes() for a, b in at], pa.binary()), pa.array([c[a:b].tobytes() for a, b in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["w", "x", "c"])
+
+    return both.repartition("w").mapInArrow(pack, "w int, x binary, c binary")
+
+
+def best_class(table: np.ndarray, m: np.ndarray, old: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class in which each word gains most, the others staying: m[i] has counts of the classes after and before word i,
+    with the own times that it follows itself; these are in the table with its old class, if that isn't -1."""
+    n, classes = len(m), len(table)
+    a, b, row = m[:, 0].copy(), m[:, 1].copy(), np.arange(n)
+    has = row[old >= 0]
+    a[has, old[has]] -= own[has]
+    b[has, old[has]] -= own[has]
+    gain = np.zeros((n, classes))
+    for x, other, t in ((a, b, table.T), (b, a, table)):
+        r, j = np.nonzero(x)
+        if not len(r):
+            continue
+        v, o, e = x[r, j], old[r], np.arange(len(r))
+        base = t[j].copy()
+        base[e[o >= 0], o[o >= 0]] -= v[o >= 0]
+        same = j == o
+        base[same] -= other[r[same]]
+        base[e[same], o[same]] -= own[r[same]]
+        term = xlogx(base + v[:, None]) - xlogx(base)
+        term[e, j] = 0
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        gain[r[first]] += np.add.reduceat(term, first, 0)
+    took = np.zeros((n, classes))
+    took[has, old[has]] = 1
+    diag = np.diag(table) - took * (a + b + own[:, None])
+    gain += xlogx(diag + a + b + own[:, None]) - xlogx(diag)
+    for x, total in ((a, table.sum(1)), (b, table.sum(0))):
+        w = (x.sum(1) + own)[:, None]
+        rest = total - took * w
+        gain -= xlogx(rest + w) - xlogx(rest)
+    gain[:, 0] = -np.inf
+    new = gain.argmax(1)
+    stay = (old >= 0) & (gain[row, new] <= gain[row, old] + 1e-9)
+    return np.where(stay, old, new)
+
+
+def _round(around: DataFrame, cls: np.ndarray, table: np.ndarray | None, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class bigrams under cls, new classes) of one round; without a table, nothing moves."""
+    units = len(cls)
+    shared = around.sparkSession.sparkContext.broadcast((cls, table))
+
+    def run(batches):
+        cls, table = shared.value
+        seen = np.zeros((CLASSES, CLASSES))
+        for b in batches:
+            w = b.column("w").to_numpy()
+            xs, cs = ([np.frombuffer(v, t) for v in b.column(k).to_pylist()] for k, t in (("x", np.int32), ("c", np.int64)))
+            at = np.repeat(np.arange(len(w)), [len(x) for x in xs])
+            x, c = np.concatenate([np.empty(0, np.int32), *xs]), np.concatenate([np.empty(0, np.int64), *cs])
+            k = cls[x % units]
+            known = k >= 0
+            m = np.bincount((at * 2 * CLASSES + (x >= units) * CLASSES + k)[known], c[known], len(w) * 2 * CLASSES).reshape(len(w), 2, CLASSES)
+            own = np.bincount(at, c * (x == w[at]), len(w))
+            old = cls[w]
+            np.add.at(seen, old[old >= 0], m[old >= 0, 0])
+            if table is not None:
+                go = np.flatnonzero((w < units - 1) & ((old < 0) if turn < 0 else (w + turn) % 2 == 0))
+                own = np.where(old >= 0, own, 0)
+                new = best_class(table, m[go], old[go], own[go])
+                moved = new != old[go]
+                yield pa.RecordBatch.from_arrays([pa.array(w[go][moved], pa.int32()), pa.array(new[moved], pa.int32()), pa.nulls(int(moved.sum()), pa.binary())], names=["w", "k", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names=["w", "k", "t"])
+
+    total, out = np.zeros((CLASSES, CLASSES)), cls.copy()
+    got = around.mapInArrow(run, "w int, k int, t binary").toArrow()
+    w, k = got.column("w").to_numpy(), got.column("k").to_numpy()
+    out[w[w >= 0]] = k[w >= 0]
+    for t in got.column("t").to_pylist():
+        if t is not None:
+            total += np.frombuffer(t).reshape(CLASSES, CLASSES)
+    shared.unpersist()
+    return total, out
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum())
+
+
+def _cluster(pairs: DataFrame, words: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, str]:
+    """(classes of all units, class bigrams, why the rounds ended)."""
+    cls = _start(pairs, words)
+    around = scratch.save(_neighbours(pairs, words), "neighbours")
+    if (cls < 0).any():  # words that aren't among the first: the best class at their neighbours so far
+        table, _ = _round(around, cls, None, 0)
+        _, cls = _round(around, cls, table, -1)
+        cls[cls < 0] = 1
+    table, _ = _round(around, cls, None, 0)
+    still, stopped = 0, f"after {ROUNDS} rounds"
+    for turn in range(ROUNDS):
+        _, new = _round(around, cls, table, turn)
+        still = still + 1 if (new == cls).all() else 0
+        if still == 2:
+            stopped = "no word moves"
+            break
+        if still:
+            continue
+        after, _ = _round(around, new, None, 0)
+        if likelihood(after) <= likelihood(table):
+            stopped = "a round of moves gains nothing"
+            break
+        cls, table = new, after
+    scratch.drop(around)
+    return cls, table, stopped
+
+
+def _place(docs: DataFrame, text: str, shared, cls: np.ndarray, table: np.ndarray) -> DataFrame:
+    """word, k: the best class of each word of LEAST_OWN occurrences or more that has no unit of its own."""
+    given = docs.sparkSession.sparkContext.broadcast((cls.astype(np.uint8), table))
+
+    def gather_slots(batches):
+        unit, k = _Units(shared.value), given.value[0].tolist()
+        words = len(unit)
+        held: dict[bytes, bytearray] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([bytes(x) for x in held.values()], pa.binary())], names=["word", "slots"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for t in texts(b, text):
+                ws = tokens(t)
+                u = list(map(unit.__getitem__, ws))
+                path = [0, *[k[x] for x in u], 0]
+                for i, x in enumerate(u):
+                    if x >= words:
+                        held.setdefault(ws[i], bytearray()).extend((path[i + 2], CLASSES + path[i]))
+            if len(held) > 200_000:
+                yield flush()
+        yield flush()
+
+    def solve(batches):
+        unit, (cls, table) = _Units(shared.value), given.value
+        for b in batches:
+            ws = b.column("word").to_pylist()
+            slots = [np.frombuffer(b"".join(x), np.uint8) for x in b.column("slots").to_pylist()]
+            at = np.repeat(np.arange(len(ws)), [len(x) for x in slots])
+            m = np.bincount(at * 2 * CLASSES + np.concatenate([np.empty(0, np.uint8), *slots]), minlength=len(ws) * 2 * CLASSES).reshape(len(ws), 2, CLASSES).astype(float)
+            old = np.array([cls[unit[w]] for w in ws], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(best_class(table, m, old, np.zeros(len(ws))), pa.int32())], names=["word", "k"])
+
+    rows = docs.select(text).mapInArrow(gather_slots, "word binary, slots binary").groupBy("word").agg(F.collect_list("slots").alias("slots"))
+    enough = F.expr(f"aggregate(slots, 0L, (n, x) -> n + length(x)) >= {2 * LEAST_OWN}")
+    return rows.filter(enough).mapInArrow(solve, "word binary, k int")
+
+
 def fit(docs: DataFrame, scratch: Scratch, text: str = "text", head: int = HEAD) -> tuple[Model, DataFrame]:
     """(model, table of the counts of the words that are not in its head) of all docs; a null text has only its end."""
     small_batches(docs.sparkSession)
@@ -178,34 +371,67 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", head: int = HEAD)
         least = low
     known = {bytes(w): c for w, c in vocabulary.filter(F.col("c") >= least).collect()}
     ranked = sorted(known, key=lambda w: (-known[w], w))
-    unit_words = {w: i for i, w in enumerate(ranked[:UNIT_WORDS])}
-    bigrams = _unit_bigrams(docs, text, unit_words)
-    cls = exchange(bigrams)
-    hot = np.eye(CLASSES)[cls]
-    table = hot.T @ bigrams @ hot
-
-    def types(batches):
-        unit, seen = _Units(unit_words), np.zeros(UNITS, np.int64)
+    unit_words = {w: i for i, w in enumerate(w for w in ranked if known[w] >= LEAST_OWN)}
+    shared = docs.sparkSession.sparkContext.broadcast(unit_words)
+    pairs = scratch.save(_pairs(docs, text, shared), "pairs")
+    cls, table, stopped = _cluster(pairs, len(unit_words), scratch)
+    scratch.drop(pairs)
+    beyond = vocabulary.filter(F.col("c") < least)
+    placed = _place(docs, text, shared, cls, table) if least > LEAST_OWN else docs.sparkSession.createDataFrame([], "word binary, k int")
+
+    def endings(batches):
+        unit = _Units(shared.value)
         for b in batches:
-            seen += np.bincount(np.fromiter(map(unit.__getitem__, b.column("word").to_pylist()), np.int64, b.num_rows), minlength=UNITS)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], names=["unit", "types"])
-
-    kinds = np.zeros(UNITS)
-    for u, t in vocabulary.mapInArrow(types, "unit int, types long").groupBy("unit").agg(F.sum("types")).collect():
-        kinds[u] = t
+            k = [int(cls[unit[w]]) if k is None else k for w, k in zip(b.column("word").to_pylist(), b.column("k").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(k, pa.int32())], names=["word", "c", "k"])
+
+    rare = scratch.save(beyond.join(placed, "word", "left").select("word", "c", "k").mapInArrow(endings, "word binary, c long, k int"), "rare")
+    unit = _Units(unit_words)
+    types_of = np.bincount([cls[unit[w]] for w in known], minlength=CLASSES).astype(float) if known else np.zeros(CLASSES)
+    for k, t in rare.groupBy("k").count().collect():
+        types_of[k] += t
     by_size = {r[0]: r[1] for r in bins}
     once, twice = by_size.get(1, 0), by_size.get(2, 0)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    total, types_of = table.sum(0), hot.T @ kinds
+    model = Model(n, v, ends, known, unit_words, cls, np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES), discount, least, stopped)
+    if least > LEAST_OWN:  # words beyond the head have left their endings' classes
+        table = _class_bigrams(_resolved(docs, model, rare, scratch, [], text))
+    total = table.sum(0)
     # a class that training hasn't seen has room for an unknown word only
     share = (total + 0.5) / (total.sum() + 0.5 * CLASSES)
     transition = np.log10((table + MIX * share) / (table.sum(1, keepdims=True) + MIX))
     with np.errstate(divide="ignore"):
         class_log = np.where(total > 0, np.log10(np.maximum(total, 1)), 0.0)
         unknown = np.where((total > 0) & (types_of > 0), np.log10(np.maximum(discount * types_of, 1e-300)), 0.0)
-    model = Model(n, v, ends, known, unit_words, cls, transition, class_log, unknown, discount, least)
-    return model, vocabulary.filter(F.col("c") < least)
+    return replace(model, transition=transition, class_log=class_log, unknown_log=unknown), rare
+
+
+def _paths(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Classes of each document's tokens, an end before and after them."""
+    out = []
+    for path, at, found in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "found"))):
+        k = np.frombuffer(path, np.uint8).astype(np.int64)
+        if found:
+            of = np.zeros(len(found), np.int64)
+            for x in found:
+                of[x["pos"]] = x["k"]
+            k[k == HOLE] = of[np.frombuffer(at, np.int32)]
+        out.append(np.concatenate([[0], k, [0]]))
+    return out
+
+
+def _class_bigrams(resolved: DataFrame) -> np.ndarray:
+    def run(batches):
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for k in _paths(b):
+                total += np.bincount(k[:-1] * CLASSES + k[1:], minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * CLASSES)), pa.array(total)], names=["at", "c"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    for at, c in resolved.select("path", "at", "found").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c")).collect():
+        table[at] = c
+    return table.reshape(CLASSES, CLASSES)
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch, keep: list[Column], text: str = "text") -> DataFrame:
@@ -215,6 +441,25 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch, keep
     under the model. Words beyond the head are looked up by a join with the table of their counts, each document's
     distinct ones once. Empty and null texts are scored for their end. Rows are told apart by their number, not doc_id.
     """
+    out = _resolved(docs, model, rare, scratch, keep, text)
+    shared = docs.sparkSession.sparkContext.broadcast((model.transition, model.class_log))
+    names = [f for f in out.schema.fields if f.name not in ("path", "at", "found")]
+
+    def run(batches):
+        transition, class_log = shared.value
+        for b in batches:
+            s = [float(transition[k[:-1], k[1:]].sum() - class_log[k[1:-1]].sum()) for k in _paths(b)]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in names], pa.array(s, pa.float64())], names=[*[f.name for f in names], "moves"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
+    score_ = F.col("own") + F.col("moves")
+    kept = [F.col(f"`{f.name}`") for f in names if f.name not in ("n_tokens", "n_known", "base_score", "own")]
+    return out.mapInArrow(run, shape + ", moves double").select(*kept, "n_tokens", "n_known", "base_score", score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"))
+
+
+def _resolved(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch, keep: list[Column], text: str) -> DataFrame:
+    """The kept columns, n_tokens, n_known, base_score, own (log10 of the words' discounted counts), and the path of classes:
+    path (a byte a token, HOLE for words beyond the head), at (each hole's word) and found (the classes of these words)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).alias("_text"))
@@ -228,7 +473,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch, keep
         counts = np.fromiter(head.values(), np.float64, len(head))
         base_log = np.append(np.log10(counts + 1), 0.0)
         own_log = np.append(np.log10(np.maximum(counts - m.discount, 1e-300)), 0.0)
-        cls_of = np.append(m.classes[np.fromiter(map(unit.__getitem__, head), np.int64, len(head))], -1) if head else np.array([-1])
+        cls_of = np.append(m.classes[np.fromiter(map(unit.__getitem__, head), np.int64, len(head))], HOLE) if head else np.array([HOLE])
         end_base = np.log10(m.ends + 1)
         scale = np.log10(m.n + m.v + 1)
         missing = len(head)
@@ -239,33 +484,31 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, scratch: Scratch, keep
                 i = np.fromiter((at.get(w, missing) for w in ws), np.int64, len(ws))
                 k = cls_of[i]
                 rare_at = np.flatnonzero(i == missing)
-                seldom: Counter = Counter()
-                for j in rare_at.tolist():
-                    w = ws[j]
-                    k[j] = c = int(m.classes[unit[w]])
-                    seldom[w, c] += 1
-                path = np.concatenate([[0], k, [0]])
-                s = m.transition[path[:-1], path[1:]].sum() - m.class_log[k].sum() + own_log[i].sum()
+                seldom = Counter(ws[j] for j in rare_at.tolist())
+                place = {w: p for p, w in enumerate(seldom)}
+                at_ = np.fromiter((place[ws[j]] for j in rare_at.tolist()), np.int32, len(rare_at))
                 base = base_log[i].sum() + end_base - (len(ws) + 1) * scale
-                rows.append((len(ws) + 1, len(ws) - len(rare_at) + (m.ends > 0), base, s, [{"word": w, "tf": f, "k": c} for (w, c), f in seldom.items()]))
-            cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
-            out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail))]
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + out, names=[f.name for f in fields] + ["n_tokens", "known", "base", "own", "tail"])
+                tail_ = [{"word": w, "tf": f, "k": int(m.classes[unit[w]])} for w, f in seldom.items()]
+                rows.append((len(ws) + 1, len(ws) - len(rare_at) + (m.ends > 0), base, own_log[i].sum(), k.astype(np.uint8).tobytes(), at_.tobytes(), tail_))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), tail))]
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + out, names=[f.name for f in fields] + ["n_tokens", "known", "base", "own", "path", "at", "tail"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    part = scratch.save(kept.mapInArrow(run, shape + ", n_tokens long, known long, base double, own double, tail array<struct<word:binary,tf:int,k:int>>"), "parts")
-    words = part.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.tf", "t.k").join(rare, "word", "left")
+    part = scratch.save(kept.mapInArrow(run, shape + ", n_tokens long, known long, base double, own double, path binary, at binary, tail array<struct<word:binary,tf:int,k:int>>"), "parts")
+    words = part.select("_row", F.posexplode("tail").alias("pos", "t")).select("_row", "pos", "t.word", "t.tf", F.col("t.k").alias("ending"))
+    words = words.join(rare, "word", "left").withColumn("k", F.coalesce("k", "ending"))
     seen = F.col("c").isNotNull()
     unknown = F.get(F.array(*[F.lit(float(x)) for x in model.unknown_log]), F.col("k"))
     own = F.when(seen, F.log10(F.greatest(F.col("c") - model.discount, F.lit(1e-300)))).otherwise(unknown)
     sums = words.groupBy("_row").agg(
-        F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("k2"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("b2"), F.sum(F.col("tf") * own).alias("s2")
+        F.sum(F.when(seen, F.col("tf")).otherwise(0)).alias("k2"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("b2"), F.sum(F.col("tf") * own).alias("s2"),
+        F.collect_list(F.struct("pos", "k")).alias("found"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = part.drop("tail").join(sums, "_row", "left")
-    score_ = F.col("own") + zero("s2")
     names = [F.col(f"`{f.name}`") for f in fields if f.name != "_row"]
     return out.select(
         *names, "n_tokens", (F.col("known") + zero("k2")).alias("n_known"), (F.col("base") + zero("b2")).alias("base_score"),
-        score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"),
+        (F.col("own") + zero("s2")).alias("own"), "path", "at", "found",
     )

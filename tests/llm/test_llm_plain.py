@@ -194,6 +194,29 @@ def test_exchange_separates_two_languages():
     assert len({*cls[:10]}) == 1 and len({*cls[10:20]}) == 1 and cls[0] != cls[10] and cls[20] == 0
 
 
+def test_best_class_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        c = rng.poisson(rng.gamma(0.3, 4, (13, 13))).astype(float)
+        cls = np.append(rng.integers(1, 5, 12), 0)
+
+        def table(cls):
+            hot = np.eye(5)[cls]
+            return hot.T @ c @ hot
+
+        def moved(w, k):
+            other = cls.copy()
+            other[w] = k
+            return brown.likelihood(table(other))
+
+        hot = np.eye(5)[cls]
+        m = np.stack([c @ hot, c.T @ hot], 1)
+        got = brown.best_class(table(cls), m, cls, np.diag(c))
+        for w in range(12):
+            all_ = [moved(w, k) for k in range(1, 5)]
+            assert all_[got[w] - 1] >= max(all_) - 1e-6
+
+
 def test_counterfactual_penalty_flattens_identity_terms():
     rng = np.random.default_rng(0)
     rows, y, swapped = [], [], []

@@ -162,6 +162,23 @@ def test_brown_probabilities_sum_to_one(spark, scratch):
         assert math.isclose(total, 1, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("head", [5000, 700])  # by exchange in rounds; and words beyond the head by their neighbours
+def test_brown_classes_of_rare_words_follow_their_neighbours(spark, scratch, head):
+    # two languages whose words have the same endings: no word beyond the first 640 tells them apart by its ending
+    rng = np.random.default_rng(3)
+    draw = lambda side: " ".join(f"{'pq'[side]}{min(int(x), 899)}" for x in rng.zipf(1.15, 40))
+    train = [(i, draw(i % 2)) for i in range(3000)]
+    model, rare = brown.fit(spark.createDataFrame(train, DOC), scratch, head=head)
+    unit = brown._Units(model.unit_words)
+    classes = {w.decode(): int(model.classes[unit[w]]) for w, c in model.head.items() if c >= 3}
+    classes |= {bytes(r["word"]).decode(): r["k"] for r in rare.filter("c >= 3").collect()}
+    sides = Counter((k, w[0]) for w, k in classes.items())
+    assert len(classes) > 1300
+    assert sum(max(sides[k, "p"], sides[k, "q"]) for k in range(brown.CLASSES)) > 0.97 * len(classes)
+    n = brown.score(spark.createDataFrame(train[:50], DOC), model, rare, scratch, [F.col("doc_id")]).filter("score < 0").count()
+    assert n == 50 and model.stopped
+
+
 def test_near_duplicates(spark, scratch):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
