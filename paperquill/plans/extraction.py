@@ -18,7 +18,7 @@ def extract(lines: DataFrame, papers: DataFrame, dev: DataFrame, save, four: boo
     choices. Papers without lines are in the report, too. Of equal questions the one of the first paper_id stays.
     """
     kind = save(classify_papers(lines))
-    parsed = save(parse_papers(lines))
+    parsed = save(parse_papers(lines, save))
     keys = parsed.filter("kind = 'key'").join(papers.select("paper_id", "source_page"), "paper_id").filter("source_page is not null and source_page <> ''")
     sinhala = kind.filter("class = 'sinhala_text'")
     asked = with_metadata(parsed.filter("kind = 'question'").join(sinhala.select("paper_id"), "paper_id", "left_semi"), papers)

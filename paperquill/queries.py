@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import mcq, papers, text
 from .operators import crawl, dedup, joins, metrics, parse, sampling, windows
+from .sources.scratch import saver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -465,8 +466,6 @@ def _graph(spark, d):
   w AS (SELECT CAST(1 AS BIGINT) AS url, 0 AS depth UNION SELECT e.link, depth + 1 FROM w JOIN e USING (url))
   SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY url""")
 def crawl_fixpoint(spark, d):
-    from .sources.scratch import saver
-
     return crawl.crawl_fixpoint(_graph(spark, d), spark.range(1, 2).withColumnRenamed("id", "url"), saver(spark, "crawl"))
 
 
@@ -516,14 +515,14 @@ def paper_lines(spark, d):
 
 @query(f"""SELECT 'paper-' || id // 40 AS paper_id, 'question' AS kind, CAST(id % 40 + 1 AS INTEGER) AS q_no, 'which ' || question AS question, array_to_string(choices[1:4], '|') AS choices, CAST(id % 4 + 1 AS INTEGER) AS answer, 'pairs' AS method FROM {MCQ}""")
 def parse_mcqs(spark, d):
-    got = parse.parse_papers(paper_lines(spark, d))
+    got = parse.parse_papers(paper_lines(spark, d), saver(spark, "papers"))
     return got.withColumn("choices", F.array_join("choices", "|"))
 
 
 @query(f"""SELECT 'paper-' || id // 40 AS paper_id, CAST(count(*) AS BIGINT) AS answers, string_agg(CAST(id % 4 + 1 AS VARCHAR), '' ORDER BY id) AS key FROM {MCQ} GROUP BY id // 40""")
 def answer_keys(spark, d):
     """Keys of the same papers without their questions, as files that have a key only."""
-    got = parse.parse_papers(paper_lines(spark, d).filter("line_no >= 10000"))
+    got = parse.parse_papers(paper_lines(spark, d).filter("line_no >= 10000"), saver(spark, "papers"))
     pairs = F.array_sort(F.collect_list(F.struct("q_no", "answer")))
     return got.groupBy("paper_id").agg(F.count("answer").alias("answers"), F.array_join(F.transform(pairs, lambda s: s["answer"].cast("string")), "").alias("key"))
 

@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from paperquill.operators.parse import body_lines, find_key, key_of_file, parse_papers
+from paperquill.operators.keys import answer_keys, keys_of_files
+from paperquill.operators.parse import body_lines, parse_papers
 from paperquill.plans.extraction import extract
 from paperquill.plans.training import training_set, validate, with_validation
 from paperquill.sources import questions as src
@@ -66,26 +67,51 @@ def test_five_options(spark):
     assert len(got) == 9 and got[8]["choices"] == ["a", "b", "c", "d", "e9"]
 
 
-def cell(text, x, y):
-    return {"text": text, "page": 0, "x0": float(x), "x1": float(x), "y0": float(y), "y1": float(y)}
+def cell(text, x, y, page=0):
+    return (text, page, float(x), float(y), float(x), float(y))
 
 
-def test_tables_across_and_down():
+TAIL = "tail array<struct<text:string,page:int,x0:double,y0:double,x1:double,y1:double>>"
+
+
+def found(spark, tails, n, options=4):
+    df = spark.createDataFrame([(str(i), n, options, t) for i, t in enumerate(tails)], f"paper_id string, n int, options int, {TAIL}")
+    got = {r["paper_id"]: (r["answers"], r["method"]) for r in answer_keys(df).collect()}
+    return [got.get(str(i), ({}, "none")) for i in range(len(tails))]
+
+
+def test_tables_across_and_down(spark):
+    want = {i: i % 4 + 1 for i in range(1, 11)}
     across = [cell(str(i), 20 * i, 10) for i in range(1, 11)] + [cell(str(i % 4 + 1), 20 * i + 3, 40) for i in range(1, 11)]
-    got, how = find_key(across, 10, 4)
-    assert how == "table" and got == {i: i % 4 + 1 for i in range(1, 11)}
-    down = [cell(str(i), 10, 20 * i) for i in range(1, 11)] + [cell(f"( {i % 4 + 1} )".replace(" ", ""), 60, 20 * i) for i in range(1, 11)]
-    got, how = find_key(down, 10, 4)
-    assert got == {i: i % 4 + 1 for i in range(1, 11)}
+    down = [cell(str(i), 10, 20 * i) for i in range(1, 11)] + [cell(f"({i % 4 + 1})", 60, 20 * i) for i in range(1, 11)]
+    far = [cell(str(i), 20 * i, 10) for i in range(1, 11)] + [cell(f"{i % 4 + 1} x", 20 * i + 9, 40) for i in range(1, 11)]  # no answer is beside its number
+    other_page = across[:10] + [cell(f"{i % 4 + 1} x", 20 * i, 40, page=1) for i in range(1, 11)]
+    second = across[:10] + [cell("7", 20, 25), cell("9", 40, 25)] + across[10:]  # a row that holds no answers stands between
+    one_line = [("1 2 3 4 5", 0, 0.0, 0.0, 10.0, 0.0)]
+    assert found(spark, [across, down, far, other_page, second, one_line], 10) == [(want, "table")] * 2 + [({}, "none")] * 2 + [(want, "table"), ({}, "none")]
+
+
+def test_sequences(spark):
+    block = [cell(x, 1, 20 * i) for i, x in enumerate(["1", "2", "text", "( 3 )", "-", "1", "ii", "IV", "(2)", "", "4", "5", "3"])]
+    assert found(spark, [block, block], 5) == [({1: 3, 2: 1, 3: 2, 4: 4, 5: 2}, "sequence")] * 2
+    assert found(spark, [block], 7, 5) == [({1: 3, 2: 1, 3: 2, 4: 4, 5: 2, 6: 4, 7: 5}, "sequence")]
+    assert found(spark, [block], 9, 5) == [({}, "none")]
+
+
+def test_pairs_come_before_tables_and_headings_before_the_start(spark):
+    lines = [cell("1. 4 2. 4 3. 4", 1, 1), cell("answer sheet", 1, 2), cell("1. 1 2. 2 3. 3 1. 4", 1, 3)]
+    assert found(spark, [lines, [], [cell(None, 1, 1)]], 3) == [({1: 1, 2: 2, 3: 3}, "pairs"), ({}, "none"), ({}, "none")]
 
 
-def test_coverage_below_ninety_per_cent_is_none():
-    assert find_key([cell("1. 2 2. 3 3. 1", 1, 1)], 10, 4) == ({}, "none")
+def test_coverage_below_ninety_per_cent_is_none(spark):
+    assert found(spark, [[cell("1. 2 2. 3 3. 1", 1, 1)]], 10) == [({}, "none")]
 
 
-def test_key_only_file():
-    got = key_of_file([cell(f"{i}. {i % 5 + 1}", 1, 20 * i) for i in range(1, 41)])
-    assert len(got) == 40 and key_of_file([cell("nothing", 1, 1)]) == {}
+def test_key_only_file(spark):
+    key = lambda n: [cell(f"{i}. {i % 5 + 1}", 1, 20 * i) for i in range(1, n + 1)]
+    df = spark.createDataFrame([("a", key(40)), ("b", [cell("nothing", 1, 1)]), ("c", key(36)), ("d", key(12)), ("e", [])], f"paper_id string, {TAIL}")
+    got = {r["paper_id"]: r["answers"] for r in keys_of_files(df).collect()}
+    assert got == {"a": {i: i % 5 + 1 for i in range(1, 41)}, "c": {i: i % 5 + 1 for i in range(1, 37)}}
 
 
 def test_body_lines(spark):
