@@ -104,6 +104,32 @@ class Scratch:
             _delete(self.spark, t._paperquill_path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of df (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns of df as they are, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """(docs stored with a number for each row, the name of that column).
+
+    A scan numbers rows by its splits, which change with the cores that are registered when it is planned; so rows are
+    numbered once, and every later step reads the stored numbers.
+    """
+    (row,) = fresh(docs, "row")
+    return scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def trim() -> None:
     """At the end of a task: give memory that isn't used back, for the worker waits for the next one."""
     pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, columns_of, fresh, numbered
 
 #: Words are runs of what is neither ASCII white space, control, punctuation nor an upper case letter once lowered.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,25 +108,31 @@ def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
-    """docs without those that are contaminated, each row judged by its own text; columns unchanged.
+    """docs without those that hold benchmark text, each row judged by its own text; columns unchanged.
 
-    The decision is joined by the text's hash and the text's length, so that it does not depend on doc_id being a key.
+    A document goes where a window of n words occurs in it, however long it is. The window of an item of fewer words
+    can be a common phrase; a document with such hits only goes where they are a twentieth of its words.
+    Rows are stored and told apart by their number; what goes is a small table of numbers (broadcast while Spark finds it
+    small enough), so that no text is shuffled.
     """
-    key = [F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_text_key")]
-    judged = scan(docs.select(key[0], "text"), benchmark, scratch, n, doc_id="_text_key")
-    bad = judged.filter(contaminated()).select(F.col("doc_id").alias("_text_key")).distinct()
-    return docs.withColumn("_text_key", key[0]).join(bad, "_text_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stored, row = numbered(docs, scratch)
+    judged = scan(stored.select(row, "text"), benchmark, scratch, n, doc_id=row)
+    bad = scratch.save(judged.filter(F.exists("hits", lambda h: h["size"] >= n) | contaminated()).select(F.col("doc_id").alias(row)), "contaminated")
+    return stored.join(bad, row, "left_anti").select(*columns_of(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs with the hit words, and what stands between each and the next word, cut from their texts."""
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    judged = scan(docs.select(key.alias("_k"), F.col(text).alias("text")), benchmark, scratch, n, doc_id="_k")
-    bad = judged.filter("n_hit > 0").groupBy(F.col("doc_id").alias("_text_key")).agg(F.first("hits").alias("_hits"))
+    """docs with the hit words, and what stands between each and the next word, cut from their texts; columns unchanged.
+
+    Null texts and texts without hits stay as they are; a text that is all hits becomes what stood before its first word.
+    """
+    stored, row = numbered(docs, scratch)
+    judged = scan(stored.select(row, F.col(text).alias("text")), benchmark, scratch, n, doc_id=row)
+    hits, gone = fresh(stored, "hits", "gone")
+    bad = scratch.save(judged.filter("n_hit > 0").select(F.col("doc_id").alias(row), F.col("hits").alias(hits)), "hits")
     pieces = F.regexp_extract_all(F.col(text), F.lit(WORD_ANY_CASE.removesuffix("+") + r"+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    gone = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
-    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col("_gone"), i)), ""))
-    joined = docs.withColumn("_text_key", key).join(bad, "_text_key", "left").withColumn("_gone", gone)
-    out = [F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out)
+    places = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
+    cut = F.concat(lead, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col(gone), i)), ""))
+    joined = stored.join(bad, row, "left").withColumn(gone, places)
+    return joined.select(*[F.when(F.col(gone).isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else x for c, x in zip(docs.columns, columns_of(docs))])

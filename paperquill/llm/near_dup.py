@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, small_batches, texts, trim
+from .base import Scratch, columns_of, numbered, small_batches, texts, trim
 from .components import components
 
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65_535
@@ -354,8 +354,8 @@ def keep_one(docs: DataFrame, scratch: Scratch, percent: int = 80, k: int = 5) -
 
     Documents without shingles all stay. Columns are unchanged.
     """
-    stored = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    judged = scratch.save(_judge(stored.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, percent, k), "judged")
-    firsts = judged.filter("kept and component is not null").groupBy("component").agg(F.min("row").alias("_row")).select("_row")
-    stay = firsts.unionByName(judged.filter("component is null").select(F.col("row").alias("_row")))
-    return stored.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stored, row = numbered(docs, scratch)
+    judged = scratch.save(_judge(stored.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, percent, k), "judged")
+    firsts = judged.filter("kept and component is not null").groupBy("component").agg(F.min("row").alias(row)).select(row)
+    stay = scratch.save(firsts.unionByName(judged.filter("component is null").select(F.col("row").alias(row))), "stay")
+    return stored.join(stay, row, "left_semi").select(*columns_of(docs))

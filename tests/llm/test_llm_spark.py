@@ -100,6 +100,31 @@ def test_decontamination_removes(spark, scratch):
     assert cut == {1: "a, b", 2: "clean", None: None}
 
 
+def test_one_window_in_a_long_document_removes_it(spark, scratch):
+    w = [f"w{i}" for i in range(30)]
+    long = lambda inside: " ".join([f"x{i}" for i in range(1000)] + inside + [f"y{i}" for i in range(1000)])
+    docs = [(1, long(w[3:16])), (2, long(w[3:15])), (3, long(["bad", "item"])), (4, "a bad item"), (None, long(w[3:16])), (5, None), (6, "")]
+    df = spark.createDataFrame([(d, t, "r", "k", "h", "g") for d, t in docs], "doc_id long, text string, row string, _text_key string, hits string, gone string")
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "bad item")], "item_id long, text string")
+    kept = decontaminate.remove_documents(df, bench, scratch)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter((d, t, "r", "k", "h", "g") for d, t in docs if d in (2, 3, 5, 6))
+    cut = decontaminate.remove_spans(df, bench, scratch)
+    assert cut.columns == df.columns and {(r["hits"], r["gone"]) for r in cut.collect()} == {("h", "g")}
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[1] == long([])
+    assert decontaminate.remove_documents(df.limit(0), bench, scratch).count() == 0
+    assert decontaminate.remove_documents(df, bench.limit(0), scratch).count() == len(docs)
+
+
+def test_stages_keep_columns_with_the_names_of_helpers(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for c in ("_row", "row", "score", "_score", "_text_key", "hits", "node"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns and kept.join(docs, docs.columns, "left_anti").count() == 0 and kept.count() > 100
+
+
 def test_decontamination_by_join_when_the_index_is_large(spark, scratch, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     got = decontaminated(spark, scratch, [(1, "a bad item b"), (2, "none")], [(1, "bad item")])
