@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperquill.llm import decontaminate, near_dup, toxicity
 from paperquill.llm import queries as q
-from paperquill.llm.base import Scratch, read_table
+from paperquill.llm.base import Scratch, columns_of, fresh, read_table
 
 #: Near-duplicates are texts whose five-word shingles have at least this similarity, in per cent.
 NEAR_DUP_PERCENT = 80
@@ -17,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled ones among them."""
     scratch = Scratch(spark, "toxicity")
     model = q.toxicity_model(docs, read_table(spark, sf_dir, "labels"), scratch)
-    scored = toxicity.score_documents(docs, model, out="_score")
-    return scored.filter(f"_score < {toxicity.THRESHOLD}").drop("_score")
+    (score,) = fresh(docs, "score")
+    scored = toxicity.score_documents(docs, model, out=score)
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth are words of benchmark passages."""
+    """Documents without a window of benchmark text; of items shorter than a window, without a twentieth of their words."""
     scratch = Scratch(spark, "decontaminate")
     return decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"), scratch)
 
