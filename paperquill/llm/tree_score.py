@@ -19,7 +19,7 @@ from .base import added_schema, small_batches, with_column
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = set("head script style noscript iframe template svg math canvas object embed audio video nav header footer aside form button select option textarea input label fieldset menu dialog map title".split())
+DROPPED = set("head script style noscript iframe template svg math canvas object embed audio video nav header footer aside button select option textarea input label fieldset menu dialog map title".split())
 BLOCKS = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS | {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 PARAGRAPHS = {"p", "pre", "blockquote"}
@@ -38,20 +38,50 @@ NOT_ARTICLE = set(
 READERS = set("comment comments commentlist disqus replies respond".split())
 ARTICLE = set("article body content entry main post story text page blog column hentry".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: What a tag holds up to its end: quotes count behind an equals sign only, and not at all where they don't close.
+INSIDE = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "marked", "menu", "weight", "points", "length", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "marked", "menu", "weight", "points", "length", "linked", "links", "depth", "block", "ends_p")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: int = 0):
         self.tag, self.parent, self.dropped, self.weight = tag, parent, dropped, weight
         self.marked, self.menu = "", False
         self.children: list = []  # nodes and strings
         self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
+        # depth; that of the nearest block, itself included; the nearest element that a paragraph can't hold, or paragraph
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.block: int = self.depth if parent is None or tag in BLOCKS else parent.block
+        self.ends_p: Node = self if parent is None or tag in CLOSES_P else parent.ends_p
+
+
+class _Tree:
+    """Open elements of a page that is being read: which is innermost, and those of each name, outer ones first."""
+
+    def __init__(self):
+        self.root = self.top = Node("html", None)
+        self.open: dict[str, list[Node]] = {}
+
+    def add(self, node: Node, stays_open: bool) -> None:
+        self.top.children.append(node)
+        if stays_open:
+            self.top = node
+            self.open.setdefault(node.tag, []).append(node)
+
+    def close(self, node: Node) -> None:
+        """Close an open element and all within it."""
+        while self.top is not node.parent:
+            self.open[self.top.tag].pop()
+            self.top = self.top.parent
+
+    def innermost(self, *tags: str) -> Node | None:
+        """The innermost open element of some names."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda n: n.depth, default=None)
 
 
 def _marks(attributes: str) -> tuple[bool, str, int]:
@@ -79,66 +109,90 @@ def _marks(attributes: str) -> tuple[bool, str, int]:
     return dropped, "" if article else marked, weight
 
 
+def tags(page: str):
+    """(text before, name, is it an end tag, attributes, start of what follows) of each tag; the last has no name.
+
+    Comments, declarations and instructions are passed over. A tag that doesn't close is no text either. Time is linear:
+    where quotes leave a tag open up to the end of the page, the page's quotes aren't regarded from there on.
+    """
+    at, text, quotes, last = 0, [], True, page.rfind(">")
+    while True:
+        i = page.find("<", at)
+        text.append(page[at:i] if i >= 0 else page[at:])
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            text.append(html.escape(page[i + 9 : end if end >= 0 else len(page)], False))
+            at = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), i):
+            end = page.find(">", i)
+            at = end + 1 if end >= 0 else len(page)
+        elif m := NAME.match(page, i):
+            if i > last:
+                break
+            end = INSIDE.match(page, m.end()).end() if quotes else page.find(">", m.end())
+            if end == len(page):
+                quotes, end = False, page.find(">", m.end())
+            at = end + 1
+            at = (yield "".join(text), m[1].lower(), page[i + 1] == "/", page[m.end() : end], at) or at
+            text.clear()
+        else:
+            text.append("<")
+            at = i + 1
+    yield "".join(text), "", False, "", len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and wrongly nested elements are closed as browsers do in the common cases."""
-    root = Node("html", None)
-    at, top = 0, root
+    tree, reader, go_on = _Tree(), tags(page), None
     while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        text, tag, is_end, attributes, at = reader.send(go_on)
+        go_on = None
         if text:
-            top.children.append(html.unescape(text))
-        if not m:
-            return root
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                top.children.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS and tag not in DROPPED:
-                    node = root  # an inline end tag doesn't close blocks
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
-            elif tag == "p":
-                top.children.append(Node("p", top))
+            tree.top.children.append(html.unescape(text))
+        if not tag:
+            return tree.root
+        if is_end:
+            node = tree.innermost(tag)
+            inline = tag not in BLOCKS and tag not in DROPPED and tag != "form"
+            if node is not None and not (inline and node.depth < tree.top.block):  # an inline end tag doesn't close blocks
+                tree.close(node)
+            elif node is None and tag == "p":
+                tree.add(Node("p", tree.top), False)
             continue
-        if tag in ("html", "body") and top.tag in ("html", "body", "head"):
-            while top is not root:
-                top = top.parent
+        if tag in ("html", "body") and tree.top.tag in ("html", "body", "head"):
+            if tree.top is not tree.root:
+                outer = tree.top
+                while outer.parent is not tree.root:
+                    outer = outer.parent
+                tree.close(outer)
             if tag == "html":
                 continue
-        if tag in CLOSES_P:
-            node = top
-            while node is not root and node.tag != "p" and node.tag not in CLOSES_P:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
+        if tag in CLOSES_P and tree.top.ends_p.tag == "p":
+            tree.close(tree.top.ends_p)
         if tag in SIBLINGS:
-            node = top
-            while node is not root and node.tag not in SCOPES[tag] and node.tag not in SIBLINGS[tag]:
-                node = node.parent
-            if node is not root and node.tag in SIBLINGS[tag]:
-                top = node.parent
-        dropped, marked, weight = _marks(m[3]) if m[3] and not m[3].isspace() else (False, "", 0)
+            node = tree.innermost(*SCOPES[tag], *SIBLINGS[tag])
+            if node is not None and node.tag in SIBLINGS[tag]:
+                tree.close(node)
+        dropped, marked, weight = _marks(attributes) if attributes and not attributes.isspace() else (False, "", 0)
         free = tag in ("html", "body", "article", "main")
-        node = Node(tag, top, tag in DROPPED or dropped and not free, weight)
+        node = Node(tag, tree.top, tag in DROPPED or dropped and not free, weight)
         node.marked = "" if free else marked
-        top.children.append(node)
+        tree.add(node, tag not in RAW and tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle")))
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "circle")):
-            top = node
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            go_on = end.end() if end else len(page)
 
 
-def drop_marked(root: Node) -> None:
-    """Drop what class and id mark, but for elements that hold most of the page's paragraph text without readers' own."""
+def drop_marked(root: Node, marks: bool) -> bool:
+    """Drop forms and, with marks, what class and id mark, but for elements that hold most of the page's paragraph text.
+
+    What readers wrote is no part of that text. True if class or id mark anything.
+    """
     order, stack = [], [(root, False)]
     held: dict[int, int] = {}
     while stack:
@@ -154,10 +208,12 @@ def drop_marked(root: Node) -> None:
         if node.parent is not None and node.marked != "readers":
             held[id(node.parent)] = held.get(id(node.parent), 0) + held.get(id(node), 0)
     for node in order:
-        if node.marked and (node.marked == "readers" or 2 * held.get(id(node), 0) <= held.get(id(root), 0)):
+        most = 2 * held.get(id(node), 0) > held.get(id(root), 0)
+        if node.tag == "form" and not most or marks and node.marked and (node.marked == "readers" or not most):
             node.dropped = True
         elif node.marked:
             node.weight = max(node.weight, 0)
+    return any(node.marked for node in order)
 
 
 def measure(root: Node) -> list[Node]:
@@ -236,13 +292,18 @@ def extract(page: str | None) -> str:
     """
     if not page:
         return ""
-    return _extract(page, True) or _extract(page, False)
+    text, marked = _extract(page, True)
+    return text or marked and _extract(page, False)[0] or ""
 
 
-def _extract(page: str, marks: bool) -> str:
+def _extract(page: str, marks: bool) -> tuple[str, bool]:
+    """(main text, does class or id mark anything)."""
     root = parse(page)
-    if marks:
-        drop_marked(root)
+    marked = drop_marked(root, marks)
+    return _best(root), marked
+
+
+def _best(root: Node) -> str:
     order = measure(root)
     scored: list[Node] = []
     for node in order:

@@ -105,6 +105,53 @@ def test_tree_score(holder):
     assert tree_score.extract(page) == "T & U\nOne, two <3.\nThree four, five.\nitem a\nitem b"
 
 
+S = "This sentence is part of the article, and says something. "
+#: Pages with the text that a reader would call the article.
+LABELLED = [
+    ("<html><body><form id=f action=x><div class=menu><a href=a>Home</a> <a href=b>News</a></div><div><h1>Title</h1><p>%s</p><p>%s</p></div></form></body></html>" % (S * 3, S * 4), "Title\n" + (S * 3).strip() + "\n" + (S * 4).strip()),
+    ("<body><div><p>%s</p><p>%s</p></div><form><p>Give us your name, and your address.</p><input><button>Send</button></form></body>" % (S * 5, S * 2), (S * 5).strip() + "\n" + (S * 2).strip()),
+    ('<div id="content" class="has-sidebar"><p>%s</p><p>%s</p></div><div class="sidebar"><p>Other news, of today.</p></div>' % (S * 4, S * 3), (S * 4).strip() + "\n" + (S * 3).strip()),
+    ('<div class="content-with-menu"><p>%s</p><ul class="menu"><li><a href=a>one</a><li><a href=b>two</a></ul><p>%s</p></div>' % (S * 4, S * 3), (S * 4).strip() + "\n" + (S * 3).strip()),
+    ('<article><header>Site</header><p>%s<p>%s<table><tr><td>cell<td>other</table></article><footer>Imprint</footer>' % (S, S * 2), S.strip() + "\n" + (S * 2).strip() + "\ncell\nother"),
+    ('<main><h2>Head &amp; more</h2><p>%s<a title="a > b" href=\'x"y\'>a link</a>, and on.</p><script>if (a < b) "</p>"</script><pre>x <  y</pre></main>' % S, "Head & more\n" + S + "a link, and on.\nx < y"),
+    ('<div class=post><p>%s</p><p>%s</p><div class="share">Tweet, it</div></div><div class="comments"><p>%s</p></div>' % (S * 3, S * 3, "A reader says, no. " * 30), (S * 3).strip() + "\n" + (S * 3).strip()),
+    ('<div><p>%s</p><p>before <a "x <b>bold</b></p><p>%s</p></div>' % (S * 3, S * 3), (S * 3).strip() + "\nbefore bold\n" + (S * 3).strip()),
+    ('<nav><ul><li><a href=1>A</a><li><a href=2>B</a></ul></nav><div role=banner>Top</div><section><p>%s</p></section><div style="display: none">%s</div><aside>%s</aside>' % (S * 4, S * 9, S), (S * 4).strip()),
+]
+
+
+def test_labelled_pages():
+    """Token precision and recall over all pages, and no page far below."""
+    from collections import Counter
+
+    both = said = meant = 0
+    for page, gold in LABELLED:
+        got = tree_score.extract(page)
+        a, b = Counter(got.split()), Counter(gold.split())
+        same = sum((a & b).values())
+        assert same >= 0.9 * max(sum(a.values()), sum(b.values())), (got, gold)
+        both, said, meant = both + same, said + sum(a.values()), meant + sum(b.values())
+    assert both / said >= 0.98 and both / meant >= 0.98
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "x ', '<a b="x ', '<a b=">" ', "</i>", "</div>", "<b></i>", "<", "<!--", "<![CDATA[", "<script></script>", " a=b", "<table><tr><td>", "<a href=x>y</a>"])
+def test_long_hostile_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (100_000, 800_000):
+        page = "<div><i>" + f"<p>{S * 9}</p>" + part * (n // len(part)) + f"<p>{S * 9}</p>"
+        start = time.process_time()
+        tree_score.extract(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 0.5 and took[1] < 8
+
+
+def test_unclosed_tags_are_no_text():
+    assert tree_score.extract(f"<div><p>{S}</p>" + '<a "x ' * 9) == S.strip() == tree_score.extract(f"<div><p>{S}</p><a href='x")
+    assert tree_score.extract(f"<p>{S}1 < 2, and <3.</p>") == S + "1 < 2, and <3."
+
+
 def test_tree_score_edges():
     assert tree_score.extract(None) == tree_score.extract("") == tree_score.extract("<nav>x</nav>") == ""
     assert tree_score.extract("plain text, no tags") == "plain text, no tags"
