@@ -10,8 +10,9 @@ rarer and unseen words have the class of their ending (hashed to a fixed number)
 All counts (words, bigrams, types of each class) are taken over all training texts, with the final classes.
 
 Smoothing: a class transition is mixed with the class's own frequency; a word's count is discounted, and what a class
-loses by that is the probability of its unknown word. Over the known words and one unknown word per class, the
-probabilities of the next token sum to 1.
+loses by that is spread evenly over its unseen types, which are taken to be so many that each is half as likely as a word
+of the class that occurs once. Over the known words and the unseen types of all classes, the probabilities of the next
+token sum to 1.
 """
 
 from __future__ import annotations
@@ -100,7 +101,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
 
 @dataclass
 class Model:
-    """n, v: tokens and distinct tokens of training. head: counts of the frequent words. All logs are to base 10."""
+    """n, v: tokens and distinct tokens of training. head: counts of the frequent words. unseen: types that each class has
+    room for; unknown_log: what each of them has instead of a discounted count. All logs are to base 10."""
 
     n: int
     v: int
@@ -111,6 +113,7 @@ class Model:
     transition: np.ndarray
     class_log: np.ndarray
     unknown_log: np.ndarray
+    unseen: np.ndarray
     discount: float
     least: int
     stopped: str = ""
@@ -393,17 +396,18 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", head: int = HEAD)
     by_size = {r[0]: r[1] for r in bins}
     once, twice = by_size.get(1, 0), by_size.get(2, 0)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    model = Model(n, v, ends, known, unit_words, cls, np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES), discount, least, stopped)
+    model = Model(n, v, ends, known, unit_words, cls, np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES), np.ones(CLASSES), discount, least, stopped)
     if least > LEAST_OWN:  # words beyond the head have left their endings' classes
         table = _class_bigrams(_resolved(docs, model, rare, scratch, [], text))
     total = table.sum(0)
-    # a class that training hasn't seen has room for an unknown word only
+    # a class that training hasn't seen has room for unseen types only
     share = (total + 0.5) / (total.sum() + 0.5 * CLASSES)
     transition = np.log10((table + MIX * share) / (table.sum(1, keepdims=True) + MIX))
     with np.errstate(divide="ignore"):
         class_log = np.where(total > 0, np.log10(np.maximum(total, 1)), 0.0)
-        unknown = np.where((total > 0) & (types_of > 0), np.log10(np.maximum(discount * types_of, 1e-300)), 0.0)
-    return replace(model, transition=transition, class_log=class_log, unknown_log=unknown), rare
+    unseen = np.maximum(2 * discount / (1 - discount) * np.where(total > 0, types_of, types_of.mean()), 1.0)
+    mass = np.where((total > 0) & (types_of > 0), discount * types_of, 1.0)
+    return replace(model, transition=transition, class_log=class_log, unknown_log=np.log10(mass / unseen), unseen=unseen), rare
 
 
 def _paths(batch: pa.RecordBatch) -> list[np.ndarray]:

@@ -183,10 +183,48 @@ def test_brown_probabilities_sum_to_one(spark, scratch):
             k = model.classes[unit[w.encode()]]
             total += 10 ** (model.transition[g, k] - model.class_log[k]) * (model.head[w.encode()] - model.discount)
         for k in range(1, brown.CLASSES):
-            total += 10 ** (model.transition[g, k] - model.class_log[k] + model.unknown_log[k])
+            total += model.unseen[k] * 10 ** (model.transition[g, k] - model.class_log[k] + model.unknown_log[k])
+            once = np.log10(1 - model.discount)
+            assert model.unknown_log[k] < once or not any(model.classes[unit[w.encode()]] == k for w in words)
         assert math.isclose(total, 1, abs_tol=1e-6)
 
 
+def test_brown_score_by_brute_force(spark, scratch):
+    """Scores from class bigrams, counts and types that are taken from the texts here; only the classes are the model's."""
+    rng = np.random.default_rng(9)
+    train = [(i, " ".join(f"w{min(int(x), 200)}" for x in rng.zipf(1.3, 30))) for i in range(80)] + [(80, None), (81, "Only HERE")]
+    docs = [*train[:9], (100, "w1 never seen w2"), (101, ""), (102, None), (103, "zzz " * 300)]
+    for head in (10_000, 20):
+        model, rare = brown.fit(spark.createDataFrame(train, DOC), scratch, head=head)
+        unit = brown._Units(model.unit_words)
+        own = {w: int(model.classes[unit[w]]) for w in model.head} | {bytes(r["word"]): r["k"] for r in rare.collect()}
+        of = lambda w: own.get(w, int(model.classes[unit[w]]))
+        split = lambda t: (t or "").lower().encode().split()
+        counts, table, n_class = Counter(), np.zeros((brown.CLASSES, brown.CLASSES)), np.zeros(brown.CLASSES)
+        for _, t in train:
+            path = [0, *map(of, split(t)), 0]
+            counts.update(split(t))
+            for a, b in zip(path, path[1:]):
+                table[a, b] += 1
+                n_class[b] += 1
+        types = np.bincount([of(w) for w in counts], minlength=brown.CLASSES)
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, once / (once + 2 * twice)))
+        share = (n_class + 0.5) / (n_class.sum() + 0.5 * brown.CLASSES)
+        got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(docs, DOC), model, rare, scratch, [F.col("doc_id")]).collect()}
+        for doc, t in docs:
+            want, before = 0.0, 0
+            for w in [*split(t), None]:
+                k = 0 if w is None else of(w)
+                p = (table[before, k] + brown.MIX * share[k]) / (table[before].sum() + brown.MIX)
+                if w is not None:
+                    unseen = max(1.0, 2 * d / (1 - d) * (types[k] if n_class[k] else types.mean()))
+                    mass = d * types[k] if n_class[k] and types[k] else 1.0
+                    p *= (counts[w] - d if counts[w] else mass / unseen) / max(n_class[k], 1)
+                want, before = want + math.log10(p), k
+            assert math.isclose(got[doc], want, rel_tol=1e-9), doc
+
+
 @pytest.mark.parametrize("head", [5000, 700])  # by exchange in rounds; and words beyond the head by their neighbours
 def test_brown_classes_of_rare_words_follow_their_neighbours(spark, scratch, head):
     # two languages whose words have the same endings: no word beyond the first 640 tells them apart by its ending
