@@ -130,6 +130,25 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     return scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
+#: A join by a key with very many rows is spread so that no piece has more than this share of all rows.
+HOT_PARTS = 2000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, other: str, count: str, total: int) -> DataFrame:
+    """rows joined with a table of one row per key, which says in a column how many rows each key has.
+
+    Keys with over a HOT_PARTS-th of the total are fewer than HOT_PARTS, so they are broadcast; their rows are dealt to as
+    many tasks as they fill, by the hash of another column, and the table's row is copied to each of these.
+    """
+    w, salt = fresh(rows, "w", "salt")
+    piece = F.lit(max(1, -(-total // HOT_PARTS)))
+    wide = F.ceil(F.col(count) / piece).cast("int")
+    hot = F.broadcast(table.filter(F.col(count) > piece).select(key, wide.alias(w)))
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(other), F.col(w)).cast("int"), F.lit(0))).drop(w)
+    copied = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(wide, F.lit(1)) - 1)))
+    return dealt.join(copied, [key, salt]).drop(salt)
+
+
 def trim() -> None:
     """At the end of a task: give memory that isn't used back, for the worker waits for the next one."""
     pa.default_memory_pool().release_unused()

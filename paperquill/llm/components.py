@@ -1,8 +1,8 @@
 """Connected components of a table of edges, by alternating large and small stars.
 
 Each round rewrites the edges with joins and aggregates, so no component is gathered anywhere; the number of rounds
-grows with the logarithm of the longest chain. The star of a vertex is built from its smallest neighbour, which is
-found with a partial aggregate, so a vertex with very many neighbours costs no task more than its share of the join.
+grows with the logarithm of the longest chain. The smallest neighbour of a vertex is found with a partial aggregate, and
+the join that ties its neighbours to it is spread over several tasks where they are very many (hot_join).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, hot_join
 
 MAX_ROUNDS = 100
 
@@ -21,15 +21,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Edges with a null end and loops are passed over, repeated ones are harmless; without edges the result is empty.
     """
     e = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    state = e.agg(F.count("*"), F.lit(None)).first()
     for _ in range(MAX_ROUNDS):
         # large star: every larger neighbour of a vertex is tied to the smallest vertex of its neighbourhood
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, least, "u", "v", "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a vertex and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "u", "v", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.save(small.filter("u <> v").distinct(), "edges")
         scratch.drop(e)
         e = new

@@ -2,9 +2,10 @@
 
 Vectors are scaled to unit length, where a cosine of at least t is a distance of at most eps = sqrt(2 - 2t), and turned so
 that their leading axes are principal directions (a turn changes no distance). They are sorted by label and by the cells,
-eps wide, of the leading axes, and the sequence is cut into intervals. A pair of intervals is joined unless their extents
-on some axis are further apart than eps; within it both are halved again and again, halves that are provably too far apart
-are skipped, and what is left at the bottom is compared with one matrix product in double precision.
+eps wide, of the leading axes, and the sequence is cut into intervals. The join goes down from runs of intervals to
+intervals and their halves: whatever pair has extents that are further apart than eps on some axis is skipped, and what is
+left at the bottom is compared with one matrix product in double precision. A task takes a pair of runs, so an interval is
+shipped once for up to GROUP partners.
 
 Equal vectors are one vector with a weight. Links are counted, not listed: each leaf adds to the number of links of its
 vectors and passes on only such links as connect what it hasn't connected yet.
@@ -17,14 +18,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, small_batches
+from .base import Scratch, hot_join, small_batches
 from .components import components
 
 #: Vectors of one interval, and of a half that isn't halved further; leading axes; rows that the axes are fitted on.
 INTERVAL, LEAF, AXES, SAMPLE = 1024, 128, 6, 20_000
+#: Intervals of a run.
+GROUP = 8
 #: Rounding of a distance or a cosine stays far below this.
 SLACK = 1e-9
 
@@ -123,20 +126,37 @@ def _intervals(placed: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(meta: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a <= b, of intervals of one label whose extents are within eps on all axes.
+def _near(a: str, b: str, wide: float) -> Column:
+    """Whether two boxes (columns a_lo, a_hi, b_lo, b_hi) are within a distance on all axes."""
+    out = F.lit(True)
+    for i in range(AXES):
+        out = out & (F.col(f"{a}_lo")[i] - F.col(f"{b}_hi")[i] <= wide) & (F.col(f"{b}_lo")[i] - F.col(f"{a}_hi")[i] <= wide)
+    return out
+
+
+def _work(meta: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
+    """(x, y, block, partners) of what is joined: the runs x <= y of GROUP intervals each that a task takes, their
+    intervals, and with which others (block <= other) each is to be joined; null where it is only a partner.
 
-    They meet by the cells of the first axis, in which an interval that is wide on it stands once for each cell.
+    Runs of intervals, which follow each other in the sequence, meet by the cells of the first two axes, in which a run that
+    is wide stands once for each cell; of the runs whose extents are within eps on all axes, the intervals are compared.
     """
     wide = eps + SLACK
     cell = lambda c: F.floor(c / F.lit(wide)).cast("long")
-    lo, hi = F.col("lo")[0], F.col("hi")[0]
-    own = meta.select("block", "label", "lo", "hi", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
-    near = meta.select(F.col("block").alias("b"), "label", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(F.sequence(cell(lo) - 1, cell(hi) + 1)).alias("cell"))
-    meet = own.join(near, ["label", "cell"]).filter("block <= b")
-    for i in range(AXES):
-        meet = meet.filter((F.col("lo")[i] - F.col("b_hi")[i] <= wide) & (F.col("b_lo")[i] - F.col("hi")[i] <= wide))
-    return meet.select(F.col("block").alias("a"), "b").distinct()
+    box = [F.array(*[f(F.col(c)[i]) for i in range(AXES)]).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    runs = meta.withColumn("run", F.floor(F.col("block") / GROUP)).groupBy("run", "label").agg(*box, F.collect_list(F.struct("block", "lo", "hi")).alias("members"))
+    runs = runs.withColumn("run", F.array_min("members.block"))
+    runs = scratch.save(runs, "runs")
+    spots = lambda i, more: F.explode(F.sequence(cell(F.col("lo")[i]) - more, cell(F.col("hi")[i]) + more)).alias(f"c{i}")
+    own = runs.select(F.col("run").alias("x"), "label", F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"), "lo", "hi", spots(0, 0)).select("*", spots(1, 0)).drop("lo", "hi")
+    other = runs.select(F.col("run").alias("y"), "label", F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"), "lo", "hi", spots(0, 1)).select("*", spots(1, 1)).drop("lo", "hi")
+    met = own.join(other, ["label", "c0", "c1"]).filter("x <= y").filter(_near("x", "y", wide)).select("x", "y").distinct()
+    held = lambda c: runs.select(F.col("run").alias(c), F.col("members").alias(f"{c}_members"))
+    each = met.join(held("x"), "x").join(held("y"), "y").select("x", "y", F.explode("x_members").alias("a"), "y_members").select("x", "y", "a", F.explode("y_members").alias("b"))
+    each = each.select("x", "y", F.col("a.block").alias("block"), F.col("b.block").alias("other"), F.col("a.lo").alias("a_lo"), F.col("a.hi").alias("a_hi"), F.col("b.lo").alias("b_lo"), F.col("b.hi").alias("b_hi"))
+    each = each.filter("block <= other").filter(_near("a", "b", wide)).select("x", "y", "block", "other")
+    needed = each.unionByName(each.select("x", "y", F.col("other").alias("block"), F.lit(None).cast("long").alias("other")))
+    return needed.groupBy("x", "y", "block").agg(F.array_sort(F.collect_list("other")).alias("partners"))
 
 
 class _Interval:
@@ -183,53 +203,55 @@ def ego_join(s: _Interval, t: _Interval, same: bool, least: float, found) -> Non
 
 
 def _joined(least: float):
-    """Rows of a pair of intervals to (node, links, null) and (node, null, other node)."""
+    """Rows of a task (the intervals of two runs, with their partners) to (node, links, null) and (node, null, other node)."""
 
-    def solve(one: _Interval, two: _Interval | None):
-        t = two or one
-        links = {}
-        n_one, n_two = np.zeros(len(one.nodes), np.int64), np.zeros(len(t.nodes), np.int64)
-        # a vector's place in a forest over both intervals
-        top = np.arange(len(one.nodes) + (len(t.nodes) if two else 0))
-        shift = len(one.nodes) if two else 0
+    def solve(held: dict[int, tuple[_Interval, list[int]]]):
+        at, start = {}, 0  # an interval's vectors have places of their own in a forest over all of the task
+        for block, (one, _) in held.items():
+            at[block], start = start, start + len(one.nodes)
+        top, n_links = np.arange(start), np.zeros(start, np.int64)
+        edges = []
 
         def find(x):
             while top[x] != x:
                 top[x] = x = top[top[x]]
             return x
 
-        edges = []
-
-        def found(i, j):
-            np.add.at(n_one, i, t.weights[j])
-            np.add.at(n_two, j, one.weights[i])
-            # what is connected already needs no more than a look at its roots
-            ri, rj = top[i], top[j + shift]
-            for p, q in zip(i[ri != rj].tolist(), j[ri != rj].tolist()):
-                x, y = find(p), find(q + shift)
-                if x != y:
-                    top[max(x, y)] = min(x, y)
-                    edges.append((int(one.nodes[p]), int(t.nodes[q])))
-
-        ego_join(one, t, two is None, least, found)
-        for nodes, n in ((one.nodes, n_one), (t.nodes, n_two)):
-            for k in np.flatnonzero(n):
-                links[int(nodes[k])] = links.get(int(nodes[k]), 0) + int(n[k])
-        return [(k, v, None) for k, v in links.items()] + [(a, None, b) for a, b in edges]
+        for block, (one, partners) in held.items():
+            for other in partners:
+                two, p0, q0 = held[other][0], at[block], at[other]
+
+                def found(i, j, one=one, two=two, p0=p0, q0=q0):
+                    np.add.at(n_links, i + p0, two.weights[j])
+                    np.add.at(n_links, j + q0, one.weights[i])
+                    # what is connected already needs no more than a look at its roots
+                    apart = top[i + p0] != top[j + q0]
+                    for p, q in zip(i[apart].tolist(), j[apart].tolist()):
+                        x, y = find(p + p0), find(q + q0)
+                        if x != y:
+                            top[max(x, y)] = min(x, y)
+                            edges.append((int(one.nodes[p]), int(two.nodes[q])))
+
+                ego_join(one, two, block == other, least, found)
+        out = [(int(one.nodes[k]), int(n_links[at[block] + k]), None) for block, (one, _) in held.items() for k in np.flatnonzero(n_links[at[block] : at[block] + len(one.nodes)])]
+        return out + [(a, None, b) for a, b in edges]
 
     def run(batches):
-        key, held = None, []
+        key, held = None, {}
+
+        def packed():
+            out = solve(held)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["node", "links", "other"])
+
         for b in batches:
-            out = []
-            for a, two, side, *packed in zip(*(b.column(c).to_pylist() for c in ("a", "b", "side", "nodes", "weights", "sizes", "units", "at"))):
-                if (a, two) != key:
-                    key, held = (a, two), []
-                held.append(_Interval(*packed))
-                if a == two:
-                    out += solve(held[0], None)
-                elif len(held) == 2:
-                    out += solve(*held)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["node", "links", "other"])
+            for x, y, block, partners, *rest in zip(*(b.column(c).to_pylist() for c in ("x", "y", "block", "partners", "nodes", "weights", "sizes", "units", "at"))):
+                if (x, y) != key:
+                    if held:
+                        yield packed()
+                    key, held = (x, y), {}
+                held[block] = _Interval(*rest), partners
+        if held:
+            yield packed()
 
     return run
 
@@ -248,15 +270,15 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float, vec_id: str
     distinct = clean.select(F.col("row").alias("node"), "unit").join(groups.select("node", "label", "weight", "key"), "node")
     eps = math.sqrt(max(0.0, 2 - 2 * least))
     blocks = scratch.save(_intervals(_placed(distinct, _axes(distinct, AXES), max(eps, 1e-6))), "intervals")
-    pairs = _pairs(blocks.select("block", "label", "lo", "hi"), eps)
-    ends = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    work = ends.join(blocks.drop("label", "lo", "hi"), "block").repartition("a", "b").sortWithinPartitions("a", "b", "side")
-    found = scratch.save(work.select("a", "b", "side", "nodes", "weights", "sizes", "units", "at").mapInArrow(_joined(least), "node long, links long, other long"), "links")
+    work = _work(blocks.select("block", "label", "lo", "hi"), eps, scratch)
+    work = work.join(blocks.drop("label", "lo", "hi"), "block").repartition("x", "y").sortWithinPartitions("x", "y", "block")
+    found = scratch.save(work.select("x", "y", "block", "partners", "nodes", "weights", "sizes", "units", "at").mapInArrow(_joined(least), "node long, links long, other long"), "links")
     counts = found.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     tied = groups.join(counts, "node", "left").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    tied = tied.join(smallest, "component").select("label", "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    tied = scratch.save(tied, "tied")
+    smallest = tied.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    tied = hot_join(tied, smallest, "component", "node", "nodes", tied.count()).select("label", "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = clean.select("vec_id", "label", "key").join(tied, ["label", "key"], "left")
     whole = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.col("vec_id").eqNullSafe(whole).alias("kept"))
