@@ -176,3 +176,13 @@ def mask_labels(prompt_ids: Column, full_ids: Column) -> Column:
 
 def left_pad(ids: Column, width: Column, value: int) -> Column:
     return F.concat(F.array_repeat(F.lit(value), F.greatest(width - F.size(ids), F.lit(0)).cast("int")), ids)
+
+
+def one_based(answer: Column) -> Column:
+    """1-based place of a 0-based answer."""
+    return answer + F.lit(1)
+
+
+def percent(c: Column, places: int = 2) -> Column:
+    """A share as text, as in 12.34%."""
+    return F.format_string(f"%.{places}f%%", c * 100)

@@ -13,11 +13,15 @@ SPACE = r"(?U)\s+"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no built-in for it. Null stays null."""
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(c: Column) -> Column:
+    """Unicode NFC, for which Spark has no built-in; a text that is all ASCII doesn't leave the JVM. Null stays null."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (trim takes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

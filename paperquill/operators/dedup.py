@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +12,21 @@ from ..functions.mcq import nfc_each
 from ..functions.text import compare_key, jaccard, overlap, shingles
 
 NEAR_DUP = 0.5
-#: Test sets of at most so many questions are broadcast; larger ones are joined by their grams.
-MAX_BROADCAST = 20_000
+#: Questions that a task counts at once.
+ROWS_AT_ONCE = 64
+#: Test sets of at most so many grams, each counted once for a question, and questions are broadcast; larger ones are joined.
+MAX_INDEX, MAX_QUESTIONS = 5_000_000, 50_000
 
 
 def keep_first(df: DataFrame, key: Column, order: Column | list[Column]) -> DataFrame:
     """The first row of each key in an order that has to be total; a null key is a key of its own.
 
-    min_by over the whole row combines before the shuffle, so a key with very many rows is no burden to its task.
+    Keys are compared by their SHA-256. min_by over the whole row combines before the shuffle, so a key with very many rows
+    is no burden to its task.
     """
     orders = order if isinstance(order, list) else [order]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    kept = df.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(orders)])).alias("_row"))
+    kept = df.groupBy(F.unhex(F.sha2(key.cast("binary"), 256)).alias("_key")).agg(F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(orders)])).alias("_row"))
     return kept.select("_row.*")
 
 
@@ -42,13 +48,54 @@ def question_grams(df: DataFrame, with_nfc: bool = True) -> DataFrame:
     )
 
 
-def shared_grams(probe: DataFrame, dev: DataFrame, probe_id: str, dev_id: str) -> DataFrame:
-    """(probe_id, dev_id, hits): the number of grams that two questions share, of their own or their options."""
-    a = probe.select(F.col(probe_id), F.explode(F.array_union("sq", "sa")).alias("gram"))
-    b = dev.select(F.col(dev_id), F.explode(F.array_union("sq", "sa")).alias("gram")).groupBy("gram").agg(F.collect_list(dev_id).alias("_devs"))
-    if dev.count() <= MAX_BROADCAST:
-        b = F.broadcast(b)
-    return a.join(b, "gram").select(probe_id, F.explode("_devs").alias(dev_id)).groupBy(probe_id, dev_id).agg(F.count("*").alias("hits"))
+def _grams(df: DataFrame, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col), F.explode(F.array_union("sq", "sa")).alias("gram"))
+
+
+def shared_grams(probe: DataFrame, dev: DataFrame, probe_id: str, dev_id: str, top: int | None = 8) -> DataFrame:
+    """(probe_id, dev_id, hits, rank): the test questions with the most grams in common with each question, of its own or its
+    options; ties: the smaller dev_id. top: how many of them; None: all that share one.
+
+    A test set whose grams fit MAX_INDEX is broadcast, and each task counts and ranks for its own questions, so nothing is
+    shuffled. A larger one is joined by its grams.
+    """
+    d = _grams(dev, dev_id)
+    size, n = d.count(), dev.count()
+    if top is None or size > MAX_INDEX or n > MAX_QUESTIONS:
+        hits = _grams(probe, probe_id).join(d, "gram").groupBy(probe_id, dev_id).agg(F.count("*").alias("hits"))
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(probe_id).orderBy(F.desc("hits"), dev_id)))
+        return hits if top is None else hits.filter(F.col("rank") <= top)
+    rows = d.toArrow()  # at most MAX_INDEX rows
+    ids = np.unique(rows.column(dev_id).to_numpy(zero_copy_only=False))
+    coded = rows.column("gram").combine_chunks().dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    posting = np.searchsorted(ids, rows.column(dev_id).to_numpy(zero_copy_only=False))[order].astype(np.int32)
+    starts = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(coded.dictionary) + 1))
+    shared = probe.sparkSession.sparkContext.broadcast((coded.dictionary.to_pylist(), starts, posting, ids))
+    kinds = {c: t for c, t in [*probe.dtypes, *dev.dtypes]}
+
+    def run(batches):
+        grams, starts, posting, ids = shared.value
+        known = pa.array(grams, pa.string())
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                held = part.column("grams")
+                code = pc.index_in(held.flatten(), value_set=known)
+                row = np.repeat(np.arange(len(held)), pc.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False))
+                found = code.is_valid().to_numpy(zero_copy_only=False)
+                code, row = code.drop_null().to_numpy(), row[found]
+                first, lens = starts[code], starts[code + 1] - starts[code]
+                ends = np.cumsum(lens)
+                spots = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - lens), lens)
+                counts = np.bincount(np.repeat(row, lens) * len(ids) + posting[spots], minlength=len(held) * len(ids)).reshape(len(held), len(ids))
+                best = np.argsort(-counts, axis=1, kind="stable")[:, :top]  # ids are sorted, so a stable sort keeps the smaller first
+                hits = np.take_along_axis(counts, best, 1)
+                r, k = np.nonzero(hits)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(r)), pa.array(ids[best[r, k]]), pa.array(hits[r, k].astype(np.int64)), pa.array((k + 1).astype(np.int32))], names=[probe_id, dev_id, "hits", "rank"])
+
+    pairs = probe.select(F.col(probe_id).alias("id"), F.array_union("sq", "sa").alias("grams"))
+    return pairs.mapInArrow(run, f"`{probe_id}` {kinds[probe_id]}, `{dev_id}` {kinds[dev_id]}, hits long, rank int")
 
 
 def test_overlap(probe: DataFrame, dev: DataFrame, probe_id: str = "id", dev_id: str = "dev_id", top: int | None = 8, near: float = NEAR_DUP) -> DataFrame:
@@ -59,10 +106,7 @@ def test_overlap(probe: DataFrame, dev: DataFrame, probe_id: str = "id", dev_id:
     rule holds counts; for it, the first rule: similar with options; the same question and an option; the question inside
     a longer one and two options.
     """
-    hits = shared_grams(probe, dev, probe_id, dev_id)
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(probe_id).orderBy(F.desc("hits"), dev_id)))
-    if top is not None:
-        hits = hits.filter(F.col("rank") <= top)
+    hits = shared_grams(probe, dev, probe_id, dev_id, top)
     d = dev.select(dev_id, F.col("sq").alias("d_sq"), F.col("sa").alias("d_sa"), F.col("opts").alias("d_opts"))
     pair = hits.join(d, dev_id).join(probe.select(probe_id, "sq", "sa", "opts"), probe_id)
     same = F.size(F.array_intersect("opts", "d_opts"))

@@ -61,10 +61,14 @@ def match_keys(questions: DataFrame, keys: DataFrame, least: float = 0.9) -> Dat
     keys: key_id, source_page, q_no, answer. A key fits a paper of which no question has an answer if it covers at least
     that share of its question numbers; of several, the smallest key_id. Answers beyond the options are null.
     """
-    asked = questions.groupBy("paper", "source_page").agg(F.count_distinct("q_no").alias("_n"), F.count("answer").alias("_have")).filter("_have = 0 and source_page is not null")
-    shared = questions.join(asked, ["paper", "source_page"], "left_semi").select("paper", "source_page", "q_no").distinct().join(keys, ["source_page", "q_no"])
-    cover = shared.groupBy("paper", "source_page", "key_id").agg(F.count_distinct("q_no").alias("_c")).join(asked, ["paper", "source_page"])
-    fit = cover.filter(F.col("_c") >= least * F.col("_n")).groupBy("paper").agg(F.min("key_id").alias("key_id"))
+    numbers = F.array_sort(F.collect_set("q_no")).alias("asked")
+    asked = questions.filter("source_page is not null").groupBy("paper", "source_page").agg(numbers, F.count("answer").alias("_have")).filter("_have = 0").drop("_have")
+    # papers of a page mostly ask the same numbers, and its keys answer the same ones: each set meets each other once
+    wanted = asked.select("source_page", "asked").distinct()
+    have = keys.groupBy("key_id", "source_page").agg(F.array_sort(F.collect_set("q_no")).alias("said")).groupBy("source_page", "said").agg(F.min("key_id").alias("key_id"))
+    fits = wanted.join(have, "source_page").filter(F.size(F.array_intersect("asked", "said")) >= least * F.size("asked")).filter(F.arrays_overlap("asked", "said"))
+    fits = fits.groupBy("source_page", "asked").agg(F.min("key_id").alias("key_id"))
+    fit = asked.join(fits, ["source_page", "asked"]).groupBy("paper").agg(F.min("key_id").alias("key_id"))
     given = fit.join(keys.select("key_id", "q_no", F.col("answer").alias("_key")), "key_id").select("paper", "q_no", "key_id", "_key")
     out = questions.join(given, ["paper", "q_no"], "left")
     return out.withColumn("answer", F.coalesce("answer", F.when((F.col("_key") >= 1) & (F.col("_key") <= F.col("n_options")), F.col("_key")))).drop("_key")
@@ -100,3 +104,20 @@ def catalog(listed: DataFrame, on_disk: DataFrame, path: str = "local_path") ->
         F.coalesce(F.array_max(F.regexp_extract_all(F.regexp_replace(p[3], r"\.pdf$", ""), F.lit("20[0-3][0-9]"), F.lit(0))), F.lit("")).alias("year"),
     )
     return have.unionByName(extra, allowMissingColumns=True)
+
+
+def shared_ids(parts: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """first, second and the number of ids that each two of some tables have in common; 0 for those that are disjoint.
+
+    A row goes through one aggregate by id, however many tables there are. Null ids are not ids.
+    """
+    names = list(parts)
+    rows = None
+    for i, df in enumerate(parts.values()):
+        one = df.select(F.col(key).cast("string").alias("id"), F.lit(i).alias("part"))
+        rows = one if rows is None else rows.unionByName(one)
+    at = rows.filter("id is not null").groupBy("id").agg(F.array_sort(F.collect_set("part")).alias("at"))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    counts = at.agg(*[F.count(F.when(F.array_contains("at", i) & F.array_contains("at", j), 1)).alias(f"n{i}_{j}") for i, j in pairs])
+    each = F.array(*[F.struct(F.lit(names[i]).alias("first"), F.lit(names[j]).alias("second"), F.col(f"n{i}_{j}").alias("n")) for i, j in pairs])
+    return counts.select(F.explode(each).alias("p")).select("p.first", "p.second", "p.n")

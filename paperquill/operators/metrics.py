@@ -23,11 +23,9 @@ def overall(preds: DataFrame) -> DataFrame:
 
 def accuracy_sets(preds: DataFrame, first: str = "subject", second: str = "category") -> DataFrame:
     """Accuracy by either column and in total, of one pass: level, subject, category, n, accuracy."""
-    preds.createOrReplaceTempView("_paperquill_preds")
-    return preds.sparkSession.sql(f"""
-        SELECT CASE WHEN grouping({first}) = 0 THEN '{first}' WHEN grouping({second}) = 0 THEN '{second}' ELSE 'all' END AS level,
-               {first}, {second}, count(*) AS n, bround(avg(CAST(CAST(correct AS INT) AS DOUBLE)), 4) AS accuracy
-        FROM _paperquill_preds GROUP BY GROUPING SETS (({first}), ({second}), ())""")
+    level = F.when(F.grouping(first) == 0, first).when(F.grouping(second) == 0, second).otherwise("all")
+    sets = preds.groupingSets([[F.col(first)], [F.col(second)], []], F.col(first), F.col(second))
+    return sets.agg(level.alias("level"), F.count("*").alias("n"), _share(F.col("correct"), 4).alias("accuracy")).select("level", first, second, "n", "accuracy")
 
 
 def side_by_side(parts: dict[str, DataFrame], key: str, value: str = "accuracy") -> DataFrame:

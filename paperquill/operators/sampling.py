@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.mcq import ABOVE
 
 
+#: Hexadecimal digits of a draw that tell bins apart: 65,536 of them.
+BIN = 4
+
+
 def draw(seed: int, *cols: Column | str) -> Column:
     """A text that orders rows at random: md5 of the seed and the columns, joined by '-'."""
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).cast("binary"))
@@ -18,6 +22,21 @@ def uniform(seed: int, *cols: Column | str) -> Column:
     return F.conv(F.left(draw(seed, *cols), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def ranked(df: DataFrame, group: str, drawn: Column, id_col: str) -> DataFrame:
+    """df with _r, the place (from 1) of each row in its group by a draw() and then the id, and _n, the rows of the group.
+
+    A group is counted by the first BIN hexadecimal digits of the draw, and its places are those within a bin after all
+    bins before, so however large a group is, no task has more of it than a bin. A null group is one, too.
+    """
+    d = df.withColumn("_d", drawn).withColumn("_b", F.left("_d", F.lit(BIN)))
+    bins = d.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_m"))
+    of = Window.partitionBy("_g")  # at most 16 ** BIN rows
+    bins = bins.withColumn("_n", F.sum("_m").over(of)).withColumn("_before", F.sum("_m").over(of.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    both = d.join(bins, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    place = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_d", id_col))
+    return both.withColumn("_r", F.col("_before") + place).drop("_d", "_b", "_g", "_c", "_m", "_before")
+
+
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     return df.orderBy(draw(seed, id_col), id_col).limit(n)
 
@@ -33,8 +52,7 @@ def stratified_split(df: DataFrame, stratum: str, id_col: str = "id", train: flo
     """
     if abs(train + val + test - 1) > 1e-6:
         raise ValueError("the ratios have to sum to 1")
-    w = Window.partitionBy(stratum)
-    df = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(draw(seed, id_col), id_col)))
+    df = ranked(df, stratum, draw(seed, id_col), id_col)
     # exact in thousandths, so that remainders compare alike everywhere
     whole = [round(x * 1000) for x in (train, val, test)]
     base = [F.floor(F.col("_n") * x / 1000) for x in whole]
@@ -48,10 +66,9 @@ def stratified_split(df: DataFrame, stratum: str, id_col: str = "id", train: flo
 
 def validation_slice(df: DataFrame, group: str, id_col: str = "id", fraction: float = 0.05, least: int = 20, seed: int = 42) -> DataFrame:
     """df with a boolean column val: a fraction (half-even, at least one) of each group of at least so many rows."""
-    w = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("_n")
     k = F.when(n >= least, F.greatest(F.lit(1), F.bround(n.cast("double") * fraction, 0).cast("int"))).otherwise(0)
-    return df.withColumn("val", F.row_number().over(w.orderBy(draw(seed, id_col), id_col)) <= k)
+    return ranked(df, group, draw(seed, id_col), id_col).withColumn("val", F.col("_r") <= k).drop("_n", "_r")
 
 
 def oversample(df: DataFrame, factor: Column, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -84,7 +101,7 @@ def few_shots(df: DataFrame, pool: DataFrame, k: int, id_col: str = "id", group:
     A row's draw starts at a point of its own in the pool's random order and takes the k places after it, so the join has
     k rows for each of df and no more, however large a group of the pool is. Rows of df without a pool get no shots.
     """
-    ring = pool.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(draw(seed, id_col), id_col)) - 1)
+    ring = ranked(pool, group, draw(seed, id_col), id_col).withColumn("_at", (F.col("_r") - 1).cast("int"))
     size = pool.groupBy(group).agg(F.count("*").alias("_size"))
     start = F.floor(uniform(seed, id_col) * F.col("_size"))
     want = df.select(id_col, group).join(size, group).withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_size")).cast("int") - 1))).filter(F.lit(k > 0))

@@ -51,6 +51,19 @@ class HttpScorer:
             return list(pool.map(self._one, batch))
 
 
+class LocalScorer:
+    """A model that runs in the task's own process: its chat() takes a list of lists of messages and sampling settings, as
+    the offline engines of inference servers do. load makes it when the first batch comes."""
+
+    def __init__(self, load: Callable[[], object], settings: object | None = None):
+        self.load, self.settings, self.model = load, settings, None
+
+    def generate(self, batch: list[list[dict]]) -> list[str]:
+        if self.model is None:
+            self.model = self.load()
+        return [o if isinstance(o, str) else o.outputs[0].text for o in self.model.chat(batch, self.settings)]
+
+
 def score(df: DataFrame, make: Callable[[], Scorer], messages: str = "messages", out: str = "raw_output", batch: int = 32) -> DataFrame:
     """df with the scorer's output for each row's messages; each task makes one scorer and gives it `batch` rows a call."""
     schema = df.withColumn(out, F.lit(None).cast("string")).schema

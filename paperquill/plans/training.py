@@ -77,3 +77,19 @@ def with_validation(kept: DataFrame, fraction: float = 0.05, seed: int = 42) ->
     """kept with a column split: val for a fraction of each subject of at least 20 questions, else train."""
     cut = validation_slice(kept, "subject", "id", fraction, seed=seed)
     return cut.withColumn("split", F.when(F.col("val"), "val").otherwise("train")).drop("val")
+
+
+def summary(split: DataFrame, test: DataFrame, counts: DataFrame) -> DataFrame:
+    """part, key, n: what there is to know of a training set: numbers of rows by split, decision, grade, subject and answer,
+    and of the subjects that only the test set has. split: as with_validation returns it; counts: those of a TrainingSet."""
+    train = split.filter("split = 'train'")
+    by = lambda part, df, key: df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("None")).alias("key")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "key", "n")
+    new = test.join(train.select("subject").distinct(), "subject", "left_anti")
+    parts = [
+        by("split", split.select("split").unionByName(test.select(F.lit("test").alias("split"))), "split"), counts.select(F.lit("decision").alias("part"), F.col("decision").alias("key"), "n"),
+        by("grade", train, "grade"), by("subject", train, "subject"), by("test subject", test, "subject"), by("answer", train, "answer"), by("only in test", new, "subject"),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mcq, papers, text
 from .operators import crawl, dedup, joins, metrics, parse, sampling, windows
+from .registry import query, table
 from .sources.scratch import saver
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- views: documents and labels as predictions, parts as questions
 
 PREDS = """(SELECT d.doc_id AS id, source AS subject, lang AS category, quality AS answer, CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE toxic END AS pred,
@@ -125,12 +106,6 @@ def distinct_counts(spark, d):
     return table(spark, d, "documents").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs"))
 
 
-@query("SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000")
-def subject_difference(spark, d):
-    o = table(spark, d, "orders")
-    return o.filter("o_orderstatus = 'F'").select("o_orderpriority").subtract(o.filter("o_orderstatus = 'O' AND o_totalprice > 400000").select("o_orderpriority"))
-
-
 # -- joins and sets
 
 
@@ -236,19 +211,18 @@ def _as_questions(spark, d):
 @query(f"WITH {_GRAMS} SELECT row, dev_id, hits, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 8")
 def near_dup_candidates(spark, d):
     a, b = _as_questions(spark, d)
-    hits = dedup.shared_grams(a, b, "row", "dev_id")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("hits"), "dev_id"))).filter("rank <= 8")
+    return dedup.shared_grams(a, b, "row", "dev_id")
 
 
 @query(rf"""WITH {_GRAMS},
   opt AS (SELECT row, list_distinct(list_transform(c, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', '', 'g'))) AS o, g FROM pg),
   dopt AS (SELECT dev_id, list_distinct(list_transform(c, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', '', 'g'))) AS o, g FROM dg),
   m AS (SELECT r.row, r.dev_id, rank, hits, len(p.g) AS a, len(q.g) AS b, len(list_intersect(p.o, q.o)) AS same FROM ranked r JOIN opt p USING (row) JOIN dopt q USING (dev_id) WHERE rank <= 8),
-  w AS (SELECT row, dev_id, rank, CASE WHEN hits / (a + b - hits) >= 0.5 THEN 'near' WHEN hits / (a + b - hits) >= 0.8 AND same >= 1 THEN 'same' WHEN hits / least(a, b) >= 0.8 AND a >= 15 AND same >= 2 THEN 'inside' END AS kind FROM m)
+  w AS (SELECT row, dev_id, rank, CASE WHEN hits / (a + b - hits) >= 0.1 THEN 'near' WHEN hits / (a + b - hits) >= 0.8 AND same >= 1 THEN 'same' WHEN hits / least(a, b) >= 0.8 AND a >= 15 AND same >= 2 THEN 'inside' END AS kind FROM m)
   SELECT row, arg_min(dev_id, rank) AS dev_id, arg_min(kind, rank) AS kind FROM w WHERE kind IS NOT NULL GROUP BY row""")
 def decontaminate_benchmark(spark, d):
     a, b = _as_questions(spark, d)
-    found = dedup.test_overlap(a, b, "row", "dev_id")
+    found = dedup.test_overlap(a, b, "row", "dev_id", near=0.1)
     return found.select("row", "dev_id", F.when(F.startswith("reason", F.lit("near")), "near").when(F.startswith("reason", F.lit("same")), "same").otherwise("inside").alias("kind"))
 
 
@@ -271,20 +245,6 @@ def answer_repair(spark, d):
     return questions(spark, d).select("id", mcq.repair_answer(said, F.col("choices")).alias("answer"))
 
 
-@query(f"""WITH q AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE answer END AS answer, id % 13 = 0 AS ctx, CASE WHEN id % 5 = 0 THEN choices[1:3] WHEN id % 7 = 0 THEN [choices[1], ' ', choices[3], choices[4]] ELSE choices[1:4] END AS choices, subject, category FROM {MCQ}),
-  r AS (SELECT id, CASE WHEN coalesce(answer, 0) = 0 THEN 'no answer' WHEN ctx THEN 'needs context' WHEN len(choices) <> 4 OR NOT (answer BETWEEN 1 AND 4) OR len(list_filter(choices, lambda c: trim(c) = '')) > 0 THEN 'malformed' END AS why, subject, category FROM q),
-  k AS (SELECT id, row_number() OVER (PARTITION BY subject, category ORDER BY id) AS n FROM r WHERE why IS NULL)
-  SELECT coalesce(why, CASE WHEN n > 1 THEN 'repeated' ELSE 'kept' END) AS decision, count(*) AS n FROM r LEFT JOIN k USING (id) GROUP BY 1""")
-def filter_reasons(spark, d):
-    q = questions(spark, d).withColumn("answer", F.when(F.col("id") % 11 != 0, F.col("answer")))
-    c = F.when(F.col("id") % 5 == 0, F.slice("choices", 1, 3)).when(F.col("id") % 7 == 0, F.array(F.get("choices", F.lit(0)), F.lit(" "), F.get("choices", F.lit(2)), F.get("choices", F.lit(3)))).otherwise(F.slice("choices", 1, 4))
-    q = q.withColumn("choices", c)
-    early = F.when(F.coalesce("answer", F.lit(0)) == 0, "no answer").when(F.col("id") % 13 == 0, "needs context").when(mcq.is_malformed(F.col("choices"), F.col("answer")), "malformed")
-    q = q.withColumn("why", early)
-    first = q.filter("why is null").groupBy("subject", "category").agg(F.min("id").alias("id")).select("id", F.lit("kept").alias("kept"))
-    return q.join(first, "id", "left").select(F.coalesce("why", "kept", F.lit("repeated")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
-
-
 @query(r"""SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(translate(text, 'thersn', '123456'), '(^|[^0-9])([1-4])([^0-9]|$)', 2), '') AS INTEGER) AS answer FROM conversations""")
 def parse_answer_digits(spark, d):
     none = F.array(*[F.lit("\x00") for _ in range(4)])  # four options of which no text has any
@@ -296,12 +256,6 @@ def format_prompt(spark, d):
     return questions(spark, d).select("id", mcq.format_question(F.col("question"), F.col("choices"), "en", False).alias("prompt"))
 
 
-@query(f"""SELECT id, 2 AS n_messages, 'system,user' AS roles, question AS last FROM {MCQ}""")
-def build_messages(spark, d):
-    m = questions(spark, d).select("id", mcq.build_messages(F.col("question")).alias("m"))
-    return m.select("id", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.element_at("m", -1)["content"].alias("last"))
-
-
 @query("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS VARCHAR) AS best FROM embeddings""")
 def option_argmax(spark, d):
     return table(spark, d, "embeddings").select("vec_id", mcq.option_argmax(F.col("embedding")).alias("best"))
@@ -432,13 +386,6 @@ def _slug(spark, d):
     return table(spark, d, "pages").select("page_id", F.replace(F.lower(F.regexp_replace(title, "[^A-Za-z0-9]+", "-")), F.lit("th"), F.lit("grade-7-2nd-term-2021-")).alias("slug"))
 
 
-@query(f"""WITH s AS (SELECT page_id, {_SLUG} AS slug FROM pages) SELECT page_id, CASE WHEN slug LIKE '%2nd-term%' THEN 2 END AS term, CASE WHEN slug LIKE '%2021%' THEN 2021 END AS year, contains(slug, 'answer') AS has_answers FROM s""")
-def parse_slug_details(spark, d):
-    s = _slug(spark, d)
-    a = papers.paper_details(F.col("slug"))
-    return s.select("page_id", a["term"].alias("term"), a["year"].alias("year"), a["has_answers"].alias("has_answers"))
-
-
 @query("""WITH n AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(p_type, '[^A-Za-z]+', '-', 'g')), '-')) AS name FROM part UNION SELECT DISTINCT lower(replace(p_type, ' ', '-')) FROM part),
   s AS (SELECT p_partkey, 'old-' || lower(replace(p_type, ' ', '-')) || '-paper' AS slug FROM part),
   m AS (SELECT p_partkey, name, row_number() OVER (PARTITION BY p_partkey ORDER BY length(name) DESC, name) AS r FROM s JOIN n ON contains('-' || slug || '-', '-' || name || '-'))

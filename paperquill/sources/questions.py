@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +82,48 @@ def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_errors(df: DataFrame, path: str) -> None:
-    df.select("url", "error").write.mode("append").option("header", True).csv(path)
+    """Add url and error to a log of CSV files; the first of them has the header, and nothing else has."""
+    rows = df.select("url", "error")
+    if not _exists(df.sparkSession, path):
+        df.sparkSession.createDataFrame([("url", "error")], rows.schema).coalesce(1).write.csv(path)
+    rows.write.mode("append").option("escape", '"').csv(path)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url string, error string").option("escape", '"').csv(path).filter("not (url = 'url' and error = 'error')")
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One file with an indented JSON array of all rows, in an order if one is given; an empty table gives [].
+
+    A JSON array is one text, so one task writes it; it holds a batch of rows at a time. write_by_grade is for large tables.
+    """
+    import pyarrow as pa
+
+    rows = (df.orderBy(*order) if order else df).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).coalesce(1)
+
+    def run(batches):
+        before = "["
+        for b in batches:
+            for text in b.column("value").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [before + "\n  " + text.replace("\n", "\n  ")]})
+                before = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], anew: bool = False) -> DataFrame:
+    """The table at a path; it is made and written where there is none, or when it is wanted anew."""
+    if anew or not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def report_json(**tables: DataFrame) -> DataFrame:
