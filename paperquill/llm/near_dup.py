@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, columns_of, numbered, small_batches, texts, trim
+from .base import Scratch, columns_of, hot_join, numbered, small_batches, texts, trim
 from .components import components
 
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65_535
@@ -30,7 +30,8 @@ MISSED = 1e-5
 BLOCK = 256
 #: Words that a worker remembers, and shingles that are sketched at once, at most (a longer text is sketched by itself).
 REMEMBERED, AT_ONCE = 100_000, 200_000
-BITMAP_BITS = 24
+#: Bytes of shingle sets that a task of verification takes, but for those of two documents; rows that are broadcast.
+BLOCK_SHINGLES, MAX_BROADCAST = 4_000_000, 1_000_000
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -160,33 +161,16 @@ def _sketches(docs: DataFrame, text: str, k: int, bands: int, rows: int) -> Data
     return docs.mapInArrow(run, "row long, doc_id long, n long, key1 long, key2 long, bands array<long>, registers binary")
 
 
-def _bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
-
-
-def _bitmap(nodes: DataFrame, column: str):
-    """Bits of the hashes of some numbers: 2 MB whatever their number, so it may be broadcast; false positives are harmless."""
-    words = nodes.select(_bit(column).alias("bit")).selectExpr("shiftright(bit, 6) AS w", "shiftleft(1L, bit & 63) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return nodes.sparkSession.sparkContext.broadcast(out)
-
-
-def _sets(docs: DataFrame, wanted, k: int) -> DataFrame:
-    """row and shingle set (binary) of the documents whose rows are in a bitmap."""
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """row and shingle set (binary) of the documents whose rows are wanted; only their texts leave the JVM."""
 
     def run(batches):
-        bits = wanted.value
         for b in batches:
-            at = b.column("bit").to_numpy()
-            take = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
-            if len(take):
-                sub = b.take(pa.array(take))
-                sets = [shingles(t, k).tobytes() for t in texts(sub, "text")]
-                yield pa.RecordBatch.from_arrays([sub.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([shingles(t, k).tobytes() for t in texts(b, "text")], pa.binary())], names=["row", "set"])
         trim()
 
-    return docs.select("row", _bit("row").alias("bit"), "text").mapInArrow(run, "row long, set binary")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    return docs.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(run, "row long, set binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -286,10 +270,14 @@ def _judge(numbered: DataFrame, scratch: Scratch, percent: int, k: int) -> DataF
     # buckets of at least two nodes, and the tie of each of their nodes to the smallest
     band = nodes.select("node", F.explode("bands").alias("bucket"))
     many = band.groupBy("bucket").agg(F.count("*").alias("g"), F.min("node").alias("center"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("g > 1")
-    member = scratch.save(band.join(many, "bucket"), "buckets")
+    many = scratch.save(many, "many")
+    held = many.agg(F.coalesce(F.sum("g"), F.lit(0))).first()[0]
+    member = scratch.save(hot_join(band, many, "bucket", "node", "g", held), "buckets")
     tie = member.filter("node <> center").select("node", "center").distinct()
     sized = made.select(F.col("row").alias("node"), "registers", "n")
-    pair = tie.join(sized, "node").join(sized.select(F.col("node").alias("center"), F.col("registers").alias("c_registers"), F.col("n").alias("c_n")), "center")
+    stars = member.filter("node <> center").groupBy("center").agg(F.count("*").alias("nodes"))  # repeated ties count, which does no harm
+    lead = sized.select(F.col("node").alias("center"), F.col("registers").alias("c_registers"), F.col("n").alias("c_n")).join(stars, "center")
+    pair = hot_join(tie.join(sized, "node"), lead, "center", "node", "nodes", held)
 
     def likely(batches):
         for b in batches:
@@ -297,33 +285,40 @@ def _judge(numbered: DataFrame, scratch: Scratch, percent: int, k: int) -> DataF
                 a, c = (np.stack([np.frombuffer(x, np.uint16) for x in b.column(name).to_pylist()]) for name in ("registers", "c_registers"))
                 na, nc = (b.column(name).to_numpy().astype(float) for name in ("n", "c_n"))
                 ok = (estimate(a, c, na, nc) >= percent / 100 - MARGIN) & (100 * np.minimum(na, nc) >= percent * np.maximum(na, nc))
-                yield b.select(["node", "center"]).filter(pa.array(ok))
+                yield b.select(["node", "center", "n"]).filter(pa.array(ok))
 
-    tie = scratch.save(pair.select("node", "center", "registers", "n", "c_registers", "c_n").mapInArrow(likely, "node long, center long"), "ties")
+    tie = scratch.save(pair.select("node", "center", "registers", "n", "c_registers", "c_n").mapInArrow(likely, "node long, center long, n long"), "ties")
     shape = "a long, b long"
     nothing = F.lit(None).cast("binary")
 
     def verified(requests: DataFrame) -> DataFrame:
-        sets = _sets(numbered, _bitmap(requests.select("node").distinct(), "node"), k).withColumnRenamed("row", "node")
+        wanted = scratch.save(requests.select(F.col("node").alias("row")).distinct(), "wanted")
+        sets = _sets(numbered, wanted, k).withColumnRenamed("row", "node")
         rows_ = requests.join(sets, "node").select("task", "salt", "node", "comp", "center", "registers", "set", "side")
         return rows_.repartition("task", "salt").sortWithinPartitions("task", "salt", F.desc("center"), "node").mapInArrow(_verify(percent), shape)
 
+    def blocks_of(count: Column, shingles_: Column) -> Column:
+        """Blocks that so many nodes with so many shingles fill."""
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles_ / BLOCK_SHINGLES)).cast("int")
+
     # a center with many nodes is copied to as many tasks as they fill
-    width = tie.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("w"))
-    spread = tie.join(width, "center").select(F.col("center").alias("task"), F.pmod(F.xxhash64("node"), F.col("w")).cast("int").alias("salt"), "node")
+    width = scratch.save(tie.groupBy("center").agg(F.count("*").alias("nodes"), blocks_of(F.count("*"), F.sum("n")).alias("w")), "widths")
+    spread = hot_join(tie, width, "center", "node", "nodes", held).select(F.col("center").alias("task"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("w")).cast("int").alias("salt"), "node")
     spread = spread.unionByName(width.select(F.col("center").alias("task"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("salt"), F.col("center").alias("node")))
     star = spread.select("task", "salt", "node", F.col("node").alias("comp"), (F.col("task") == F.col("node")).alias("center"), nothing.alias("registers"), F.lit(0).alias("side"))
     links = scratch.save(verified(star), "links")
 
     label = scratch.save(components(links, scratch).select(F.col("id").alias("node"), F.col("component").alias("comp")), "labels")
-    labelled = member.filter("g > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sides = labelled.groupBy("bucket", "g", "center", "mark", "comp").agg(F.count("*").alias("c"))
-    sides = sides.groupBy("bucket", "g", "center", "mark").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c")).filter("c < g")
-    torn = sides.groupBy("g", "center", "mark").agg(F.min(F.struct("bucket", "main", "c")).alias("t")).select("t.bucket", "t.main", "t.c")  # equal buckets once
-    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    rest = labelled.join(torn, "bucket").withColumns({"w": blocks_of(F.col("g") - F.col("c")), "v": blocks_of(F.col("c")), "minor": F.col("comp") != F.col("main")})
+    labelled = member.filter("g > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sized.select("node", "n"), "node")
+    sides = labelled.groupBy("bucket", "g", "center", "mark", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("c_n"))
+    sides = sides.groupBy("bucket", "g", "center", "mark").agg(F.max_by(F.struct("comp", "c", "c_n"), F.struct("c", "comp")).alias("main"), F.sum("c_n").alias("n")).filter("main.c < g")
+    # buckets of the same nodes once
+    torn = sides.groupBy("g", "center", "mark").agg(F.min(F.struct("bucket", "main", "n")).alias("t")).select("t.bucket", "g", "t.main", "t.n")
+    torn = torn.select("bucket", F.col("g").alias("nodes"), F.col("main.comp").alias("main"), blocks_of(F.col("g") - F.col("main.c"), F.col("n") - F.col("main.c_n")).alias("w"), blocks_of(F.col("main.c"), F.col("main.c_n")).alias("v"))
+    torn = scratch.save(torn, "torn")
+    rest = hot_join(labelled.select("bucket", "node", "comp"), torn, "bucket", "node", "nodes", held).withColumn("minor", F.col("comp") != F.col("main"))
     # w blocks of the nodes outside the bucket's main component meet each other, and the v blocks inside it; those inside are connected
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("w")).otherwise(F.col("v"))).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("minor"), F.col("w")).otherwise(F.col("v"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     minor = rest.filter("minor")
     one = minor.select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.least("block", "o") * F.col("w") + F.greatest("block", "o")).alias("salt"), F.col("block").alias("side"))
@@ -332,18 +327,21 @@ def _judge(numbered: DataFrame, scratch: Scratch, percent: int, k: int) -> DataF
     met = one.unionByName(two).unionByName(three).select(F.col("bucket").alias("task"), "salt", "node", "comp", F.lit(False).alias("center"), "side")
     met = scratch.save(met.join(sized.select("node", "registers"), "node"), "blocks")
     more = scratch.save(verified(met), "links")
-    scratch.drop(met, member, tie)
+    scratch.drop(met, member, tie, many, width, torn)
 
     # the links found last are between components of those found first
     of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    above = components(between, scratch).select(F.col("id").alias("comp"), F.col("component").alias("top"))
+    above = scratch.save(components(between, scratch).select(F.col("id").alias("comp"), F.col("component").alias("top")), "above")
     single = above.join(label, above.comp == label.node, "left_anti").select(F.col("comp").alias("id"), F.col("top").alias("component"))
-    found = label.join(above, "comp", "left").select(F.col("node").alias("id"), F.coalesce("top", "comp").alias("component")).unionByName(single)
+    size = label.groupBy("comp").agg(F.count("*").alias("nodes"))
+    tops = size.join(above, "comp", "left").select("comp", F.coalesce("top", "comp").alias("component"), "nodes")
+    found = hot_join(label, tops, "comp", "node", "nodes", held).select(F.col("node").alias("id"), "component").unionByName(single)
     tied = classes.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = scratch.save(tied, "tied")
     # a component's first row: the smallest doc_id, and of its rows the first
-    least = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = tied.join(least, "component").select("key1", "key2", "n", "component", "component_id")
+    least = tied.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    whole = hot_join(tied, least, "component", "node", "nodes", tied.count()).select("key1", "key2", "n", "component", "component_id")
     out = made.select("row", "doc_id", "n", "key1", "key2").join(whole, ["key1", "key2", "n"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
