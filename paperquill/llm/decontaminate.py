@@ -19,7 +19,7 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, MAX_BROADCAST = 13, 200_000
 #: Stands at the end of each document's words, so that the scan gives one row for documents without a hit too.
-END = "\x00"
+END, END_KEYS = "\x00", 1024
 
 
 def lowered_words(text: Column) -> Column:
@@ -53,19 +53,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, n: int = WINDO
     rows, and rows with a null doc_id, are documents of their own. Other columns of the inputs are not read.
     """
     index = scratch.save(window_index(benchmark.select("item_id", "text"), n), "windows")
+    small = index.count() <= MAX_BROADCAST
+    # where positions are shuffled, the ends of documents are dealt out, too
+    ends = F.array(*[F.lit(f"{END}{i}") for i in range(1 if small else END_KEYS)])
     end = docs.sparkSession.range(1).select(
-        F.lit(END).alias("anchor"), F.lit(0).alias("before"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items")
+        F.explode(ends).alias("anchor"), F.lit(0).alias("before"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items")
     )
     window = F.array_join("words", " ")  # a word has no space, so this tells windows apart
     keys = index.withColumn("items", F.col("items").cast("array<string>")).unionByName(end).select(
         F.lower("anchor").alias("anchor"), "before", "size", "items", window.alias("window"), F.xxhash64(window).alias("hash"),
         F.lower(F.get("words", F.lit(0))).alias("first"), F.lower(F.get("words", F.col("size") - 1)).alias("last"),
     )
-    small = index.count() <= MAX_BROADCAST
     if small:
         keys = F.broadcast(keys)
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_ANY_CASE), F.lit(0))
-    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.concat(words, F.array(F.lit(END))).alias("w"))
+    marked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words.alias("w"))
+    own_end = F.lit(f"{END}0") if small else F.concat(F.lit(END), F.pmod(F.xxhash64("row"), F.lit(END_KEYS)).cast("string"))
+    marked = marked.withColumn("w", F.concat("w", F.array(own_end)))
     seen = marked.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "word"))
     at, total = F.col("pos") - F.col("before"), F.size("w") - 1
     if not small:  # positions are shuffled, so each takes along the words that a window around it can have, not them all
