@@ -23,13 +23,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches from now on, in this session, unless it has a size of its own; Spark reads the setting when a
+    query runs, so it can't be put back before. Results don't depend on it."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_scratch}").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of this machine; any other is an error, for executors would each write
+    to their own disk.
+    """
+    set_ = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_ and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (set_ or f"file://{_own_scratch}").rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -66,8 +75,9 @@ def sweep() -> None:
 class Scratch:
     """Tables of one operator run, written to the shared folder, so that no lineage hangs on an executor's disk.
 
-    save() writes and rereads; drop() deletes a table that nothing reads any more. The rest goes when the JVM has dropped
-    every plan that reads it: later, when another table is saved.
+    save() writes and rereads; drop() deletes a table that nothing reads any more, and close() all that are left, as does the
+    end of a with block. Of a Scratch that isn't closed, a table goes when the JVM has dropped every plan that reads it:
+    later, when another table is saved. Whoever takes an RDD from a result has to keep the result.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -99,6 +109,17 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         sweep()
 
+    def close(self) -> None:
+        """Delete all tables: results have to be read or stored before."""
+        _watched[:] = [x for x in _watched if not x[2].startswith(self.root + "/")]
+        _delete(self.spark, self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._paperquill_path)

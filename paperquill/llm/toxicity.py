@@ -62,9 +62,14 @@ def swaps(identity) -> dict[bytes, bytes]:
 
 @dataclass
 class Model:
+    """rows: labelled texts that it was fitted on; swapped: those of them that hold an identity term to swap. Without any,
+    it is a plain logistic regression."""
+
     features: dict[str, int]
     weights: np.ndarray
     bias: float
+    rows: int = 0
+    swapped: int = 0
 
     def scorer(self):
         return _Scorer(self)
@@ -136,10 +141,12 @@ def _counts(batches, of):
     yield flush()
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", identity=IDENTITY, max_rows: int = MAX_ROWS, l2: float = L2, counterfactual: float = COUNTERFACTUAL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", identity=IDENTITY, max_rows: int = MAX_ROWS, l2: float = L2, counterfactual: float = COUNTERFACTUAL, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Model:
     """Learn from the labelled rows given. Rows with a null id or label are passed over; a null text has no features.
 
-    Repeated texts of one label count once. Without rows of both labels, the score of every text is 0.
+    Repeated texts of one label count once, so repeated ids do no harm; at most max_rows texts of each label are used,
+    those of the smallest hash. Features are the max_features that tell the labels apart best, of those in min_docs texts or
+    more whose log odds differ by min_z standard errors or more. Without rows of both labels, the score of every text is 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,6 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
     sample = scratch.save(joined.withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_h", "_y"]), "sample")
     total = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    for y in (0, 1):
+        if total.get(y, 0) > max_rows:  # ids that repeat have several texts
+            first = scratch.save(sample.filter(F.col("_y") == y).select("_h", "_y").orderBy("_h").limit(max_rows), "first")
+            sample = scratch.save(sample.filter(F.col("_y") != y).unionByName(sample.join(F.broadcast(first), ["_h", "_y"], "left_semi")), "sample")
+            total[y] = max_rows
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not (n1 and n0):
         return Model({}, np.zeros(0), -1e9)
@@ -172,10 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     schema = "key binary, d1 long, d0 long"
     summed = lambda df: df.groupBy("key").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
     by_word = summed(sample.select("text", "_y").mapInArrow(lambda it: _counts(it, per_text), schema))
-    by_feature = summed(by_word.mapInArrow(lambda it: _counts(it, per_word), schema)).filter(F.col("d1") + F.col("d0") >= MIN_DOCS)
+    by_feature = summed(by_word.mapInArrow(lambda it: _counts(it, per_word), schema)).filter(F.col("d1") + F.col("d0") >= min_docs)
     odds = lambda d, m: F.log((F.least(d, F.lit(m)) + 0.5) / (m - F.least(d, F.lit(m)) + 0.5))
     z = (odds(F.col("d1"), n1) - odds(F.col("d0"), n0)) / F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
-    best = by_feature.withColumn("z", F.abs(z)).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "key").limit(MAX_FEATURES).select("key").collect()
+    best = by_feature.withColumn("z", F.abs(z)).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "key").limit(max_features).select("key").collect()
     model = Model({bytes(r[0]).decode("utf-8", "replace"): i for i, r in enumerate(best)}, np.zeros(len(best)), 0.0)
     swap = swaps(identity)
 
@@ -191,10 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_y"), pa.array(ids, kind), pa.array(other, kind)], names=["h", "y", "ids", "other"])
 
-    got = sample.select("_h", "_y", "text").mapInArrow(featurise, "h string, y int, ids array<int>, other array<int>").collect()
-    got.sort(key=lambda r: (r["h"], r["y"]))
-    rows, y = [r["ids"] for r in got], np.array([r["y"] for r in got], float)
-    swapped = [(k, r["other"]) for k, r in enumerate(got) if r["other"] is not None and r["other"] != r["ids"]]
+    got = sample.select("_h", "_y", "text").mapInArrow(featurise, "h string, y int, ids array<int>, other array<int>").toArrow()  # at most 2 * max_rows rows
+    got = got.sort_by([("h", "ascending"), ("y", "ascending")])
+    rows, y = got.column("ids").to_pylist(), got.column("y").to_numpy().astype(float)
+    swapped = [(k, other) for k, other in enumerate(got.column("other").to_pylist()) if other is not None and other != rows[k]]
+    model.rows, model.swapped = len(rows), len(swapped)
     prior = np.log((n[1] / n[0]) / (taken[1] / taken[0]))
     model.weights, model.bias = train_numpy(rows, y, swapped, len(best), prior, l2, counterfactual)
     scratch.drop(sample)
