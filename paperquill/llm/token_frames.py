@@ -64,38 +64,41 @@ class ChunkEncoder:
         self.latin = None
         if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not steps["post_processor"]:
             self.latin = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         if self.end is not None:  # white space can't be a chunk, so this one stands for the end
-            self._learn([b" "], [(self.end,)])
+            self._learn([b" "], [[self.end]])
 
-    def _learn(self, chunks: list[bytes], ids: list[tuple[int, ...]]) -> None:
+    def _learn(self, chunks: list[bytes], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.lens = np.concatenate([self.lens, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]
+
+    def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
             if len(self.pieces) >= 100_000:
                 self.pieces.clear()
-            got = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS)))
+            got = self.pieces[piece] = self._ids(piece)
         return got
 
-    def _chunk(self, chunk: bytes) -> tuple[int, ...]:
+    def _chunk(self, chunk: bytes) -> list[int]:
         if self.latin is not None and chunk.isalpha():  # ASCII letters, which stand for themselves
-            return tuple(t.id for t in self.model.tokenize(chunk.decode().lower()))
+            return [t.id for t in self.model.tokenize(chunk.decode().lower())]
         text = chunk.decode()
         if self.latin is None or "<|" in text or not PLAIN(text):
-            return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
         parts = self.latin(text.lower())
-        return self._piece(parts[0]) if len(parts) == 1 else tuple(i for p in parts for i in self._piece(p))
+        return self._ids(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._piece(p)]
 
     @staticmethod
     def _apart(doc: bytes) -> bytes:
@@ -138,7 +141,8 @@ def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard under a name of its own and renames it at the end, so that a repeated task does no harm."""
 
-    def __init__(self, folder: str, shard: int, level: int = 3):
+    def __init__(self, folder: str, shard: int, level: int = 3, frame_ids: int = FRAME_IDS):
+        self.frame_ids = frame_ids
         self.fs, root = open_fs(folder)
         self.fs.create_dir(root)
         self.name = f"shard-{shard:06d}.zst"
@@ -149,7 +153,7 @@ class ShardWriter:
         self.table, self.index, self.held, self.n_held = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if self.n_held and self.n_held + len(ids) > FRAME_IDS:
+        if self.n_held and self.n_held + len(ids) > self.frame_ids:
             self._frame()
         self.index.append((NO_ID if doc_id is None else doc_id, len(self.table), self.n_held, len(ids)))
         self.held.append(ids)
@@ -162,6 +166,11 @@ class ShardWriter:
         self.table.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.held, self.n_held = [], 0
 
+    def abort(self) -> None:
+        """Remove what was written, after a failure."""
+        self.out.close()
+        self.fs.delete_file(self.part)
+
     def close(self) -> None:
         if self.held:
             self._frame()
@@ -213,11 +222,13 @@ class ShardReader:
 _encoders: dict[tuple[int, int | None], ChunkEncoder] = {}
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, shards: int, doc_id: str = "doc_id", text: str = "text", frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode docs and write them in ascending doc_id order to shards of a folder that driver and executors share.
 
     Returns one row per shard: shard, name, n_docs, n_tokens. Nulls: a null text is empty (only the end id), a null
-    doc_id sorts first. Rows with equal doc_id keep the order of their texts. An empty table gives no shard.
+    doc_id sorts first. Rows with equal doc_id (or none) have the order of the first characters of their texts, and may be
+    in several shards. An empty table gives no shard. frame_ids: ids of a frame at most, but for longer documents; a reader
+    of one document decompresses its frame (about 1 MB by default).
     """
     small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -228,20 +239,28 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if key not in _encoders:
             _encoders[key] = ChunkEncoder(json.value, end_id)
         shard, writer, n_docs, n_tokens = TaskContext.get().partitionId(), None, 0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            writer = writer or ShardWriter(folder, shard)
-            offsets, ids = _encoders[key].encode(texts(b, "text"))
-            for i, d in enumerate(b.column("doc_id").to_pylist()):
-                writer.add(d, ids[offsets[i] : offsets[i + 1]])
-            n_docs, n_tokens = n_docs + b.num_rows, n_tokens + len(ids)
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                writer = writer or ShardWriter(folder, shard, frame_ids=frame_ids)
+                offsets, ids = _encoders[key].encode(texts(b, "text"))
+                for i, d in enumerate(b.column("doc_id").to_pylist()):
+                    writer.add(d, ids[offsets[i] : offsets[i + 1]])
+                n_docs, n_tokens = n_docs + b.num_rows, n_tokens + len(ids)
+            if writer:
+                writer.close()
+        except BaseException:
+            if writer:
+                writer.abort()
+            raise
         if writer:
-            writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "name": pa.array([writer.name]), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    begin = F.left("text", F.lit(16))
+    rows = rows.withColumn("begin", begin).withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(shards, "doc_id", "begin", "row").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long")
 
 
