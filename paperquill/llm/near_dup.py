@@ -8,7 +8,8 @@ may reach the threshold is verified on the full sets, which are made again from
 
 Groups are never expanded into pairs. Equal sets are one node. Each band bucket ties its nodes to its smallest node; only
 buckets whose nodes are not all tied together by verified links are looked at further, in blocks of bounded size, where a
-pair is compared only while its two nodes are not connected yet. So every link between candidates is found or implied.
+pair is compared only while its two nodes are not connected yet. Of a bucket of many blocks, such nodes meet only as have
+one of their rarest shingles in common. So every link between candidates is found or implied.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch, columns_of, hot_join, numbered, small_batches, texts, trim
@@ -32,6 +33,8 @@ BLOCK = 256
 REMEMBERED, AT_ONCE = 100_000, 200_000
 #: Bytes of shingle sets that a task of verification takes, but for those of two documents; rows that are broadcast.
 BLOCK_SHINGLES, MAX_BROADCAST = 4_000_000, 1_000_000
+#: A torn bucket of more pairs of blocks is dealt to buckets of rare shingles first.
+PRODUCTS = 16
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -247,6 +250,34 @@ def _verify(percent: int):
     return run
 
 
+def _by_rare_shingles(numbered: DataFrame, members: DataFrame, scratch: Scratch, percent: int, k: int) -> DataFrame:
+    """members (bucket, node, comp, n) dealt anew, to a bucket for each of the rarest shingles of a node in its bucket.
+
+    Two sets that reach the threshold have a shingle in common among the (1 - threshold) * n + 1 rarest of either, so each
+    link is in one of these buckets. Texts of one template that are too different to link share common shingles only, so
+    they don't meet. Shingles that one component alone has make no bucket.
+    """
+    members = scratch.save(members, "members")
+    wanted = scratch.save(members.select(F.col("node").alias("row")).distinct(), "wanted")
+
+    def lists(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b.column("set").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            xs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), xs], names=["node", "xs"])
+
+    sets = _sets(numbered, wanted, k).mapInArrow(lists, "node long, xs array<long>")
+    grams = members.join(sets, "node").select("bucket", "node", "comp", "n", F.explode("xs").alias("x")).select("bucket", "node", "comp", "n", F.xxhash64("bucket", "x").alias("h"))
+    grams = scratch.save(grams, "grams")
+    often = scratch.save(grams.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")), "often")
+    # n - ceil(threshold * n) + 1
+    first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    place = F.row_number().over(Window.partitionBy("bucket", "node").orderBy("c", "h"))
+    rare = hot_join(grams, often, "h", "node", "c", grams.count()).withColumn("place", place).filter((F.col("place") <= first) & (F.col("low") != F.col("high")))
+    return rare.select(F.col("h").alias("bucket"), "node", "comp", "n")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: row (its number), doc_id, n_shingles, component, component_id, kept.
 
@@ -309,22 +340,36 @@ def _judge(numbered: DataFrame, scratch: Scratch, percent: int, k: int) -> DataF
     links = scratch.save(verified(star), "links")
 
     label = scratch.save(components(links, scratch).select(F.col("id").alias("node"), F.col("component").alias("comp")), "labels")
-    labelled = member.filter("g > 2").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sized.select("node", "n"), "node")
-    sides = labelled.groupBy("bucket", "g", "center", "mark", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("c_n"))
-    sides = sides.groupBy("bucket", "g", "center", "mark").agg(F.max_by(F.struct("comp", "c", "c_n"), F.struct("c", "comp")).alias("main"), F.sum("c_n").alias("n")).filter("main.c < g")
-    # buckets of the same nodes once
-    torn = sides.groupBy("g", "center", "mark").agg(F.min(F.struct("bucket", "main", "n")).alias("t")).select("t.bucket", "g", "t.main", "t.n")
-    torn = torn.select("bucket", F.col("g").alias("nodes"), F.col("main.comp").alias("main"), blocks_of(F.col("g") - F.col("main.c"), F.col("n") - F.col("main.c_n")).alias("w"), blocks_of(F.col("main.c"), F.col("main.c_n")).alias("v"))
-    torn = scratch.save(torn, "torn")
-    rest = hot_join(labelled.select("bucket", "node", "comp"), torn, "bucket", "node", "nodes", held).withColumn("minor", F.col("comp") != F.col("main"))
-    # w blocks of the nodes outside the bucket's main component meet each other, and the v blocks inside it; those inside are connected
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("minor"), F.col("w")).otherwise(F.col("v"))).cast("int"))
-    up_to = lambda n: F.sequence(F.lit(0), n - 1)
-    minor = rest.filter("minor")
-    one = minor.select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.least("block", "o") * F.col("w") + F.greatest("block", "o")).alias("salt"), F.col("block").alias("side"))
-    two = minor.select("*", F.explode(up_to(F.col("v"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("block") * F.col("v") + F.col("o")).alias("salt"), F.lit(0).alias("side"))
-    three = rest.filter("not minor").select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("o") * F.col("v") + F.col("block")).alias("salt"), F.lit(1).alias("side"))
-    met = one.unionByName(two).unionByName(three).select(F.col("bucket").alias("task"), "salt", "node", "comp", F.lit(False).alias("center"), "side")
+    labelled = member.filter("g > 2").select("bucket", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sized.select("node", "n"), "node").select("bucket", "node", "comp", "n")
+
+    def torn_of(rows: DataFrame) -> DataFrame:
+        """bucket, nodes, main (its largest component), w and v (blocks outside and inside it) of the buckets that links
+        don't tie together; of buckets of the same nodes one."""
+        sides = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("c_n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+        whole = sides.groupBy("bucket").agg(F.max_by(F.struct("comp", "c", "c_n"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("g"), F.sum("c_n").alias("n"), F.min("least").alias("least"), F.bit_xor("mark").alias("mark"))
+        one = whole.filter("main.c < g").groupBy("g", "least", "mark").agg(F.min(F.struct("bucket", "main", "n")).alias("t")).select("t.bucket", "g", "t.main", "t.n")
+        outside = blocks_of(F.col("g") - F.col("main.c"), F.col("n") - F.col("main.c_n"))
+        return one.select("bucket", F.col("g").alias("nodes"), F.col("main.comp").alias("main"), outside.alias("w"), blocks_of(F.col("main.c"), F.col("main.c_n")).alias("v"))
+
+    def products(rows: DataFrame, torn: DataFrame, total: int) -> DataFrame:
+        """Tasks of pairs of blocks: the w of the nodes outside a bucket's main component meet each other and the v inside it;
+        those inside are connected."""
+        rest = hot_join(rows.select("bucket", "node", "comp"), torn, "bucket", "node", "nodes", total).withColumn("minor", F.col("comp") != F.col("main"))
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("minor"), F.col("w")).otherwise(F.col("v"))).cast("int"))
+        up_to = lambda n: F.sequence(F.lit(0), n - 1)
+        minor = rest.filter("minor")
+        one = minor.select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.least("block", "o") * F.col("w") + F.greatest("block", "o")).alias("salt"), F.col("block").alias("side"))
+        two = minor.select("*", F.explode(up_to(F.col("v"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("block") * F.col("v") + F.col("o")).alias("salt"), F.lit(0).alias("side"))
+        three = rest.filter("not minor").select("*", F.explode(up_to(F.col("w"))).alias("o")).select("*", (F.col("w") * F.col("w") + F.col("o") * F.col("v") + F.col("block")).alias("salt"), F.lit(1).alias("side"))
+        return one.unionByName(two).unionByName(three).select(F.col("bucket").alias("task"), "salt", "node", "comp", F.lit(False).alias("center"), "side")
+
+    torn = scratch.save(torn_of(labelled), "torn")
+    large = F.col("w").cast("long") * (F.col("w") + F.col("v")) > PRODUCTS
+    met = products(labelled, torn.filter(~large), held)
+    if not torn.filter(large).isEmpty():
+        inside = hot_join(labelled, torn.filter(large).select("bucket", "nodes"), "bucket", "node", "nodes", held).select("bucket", "node", "comp", "n")
+        sub = scratch.save(_by_rare_shingles(numbered, inside, scratch, percent, k), "sub-buckets")
+        met = met.unionByName(products(sub, scratch.save(torn_of(sub), "torn"), sub.count()))
     met = scratch.save(met.join(sized.select("node", "registers"), "node"), "blocks")
     more = scratch.save(verified(met), "links")
     scratch.drop(met, member, tie, many, width, torn)
