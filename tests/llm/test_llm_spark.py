@@ -142,6 +142,37 @@ def test_toxicity_on_empty_and_null(spark, scratch):
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_ids_is_bounded(spark, scratch):
+    docs = spark.createDataFrame([(1, f"you idiot number {i} of them") for i in range(40)] + [(2, f"a fine text number {i} of them") for i in range(40)], DOC)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, scratch, max_rows=10)
+    assert m.rows == 20 and m.swapped == 0
+
+
+def test_toxicity_swaps_identity_terms(spark, scratch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"they hate {rng.choice(['women', 'men'])} idiots {rng.integers(50)}" if i % 4 == 0 else f"we met {'women' if i % 9 == 0 else 'people'} there {rng.integers(50)}") for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    test = spark.createDataFrame([(1, "we met women there"), (2, "we met men there"), (3, "they hate women idiots")], DOC)
+    held = {}
+    for weight in (0.0, 1.0):
+        m = toxicity.fit(docs, labels, scratch, counterfactual=weight)
+        s = {r["doc_id"]: r["score"] for r in toxicity.score_documents(test, m).collect()}
+        held[weight] = abs(s[1] - s[2])
+        assert m.swapped > 100 and s[3] > 0.9
+    assert held[1.0] < 0.5 * held[0.0] or held[1.0] < 0.01
+
+
+def test_a_scratch_is_closed(spark):
+    import os
+
+    with Scratch(spark, "closed") as s:
+        t = s.save(spark.range(3), "t")
+        folder = s.root.removeprefix("file://")
+        assert t.count() == 3 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -172,6 +203,13 @@ def test_brown_against_counts(spark, scratch):
     assert brown.score(spark.createDataFrame(docs[:1], DOC), nothing, rare, scratch, [F.col("doc_id")]).first()["base_score"] == 0
 
 
+def test_brown_endings_are_the_same_in_sql(spark):
+    words = ["a", "...", "(word)", "Größe,", "ක්‍ර", "日本語文", "x!", "'tis", "-", "ab", "naïve", "\u00a0z", "😀😀😀😀", "\"q\""]
+    df = spark.createDataFrame([(w.encode(),) for w in words], "word binary")
+    got = {bytes(r[0]).decode(): r[1] for r in df.select("word", brown.ending_class("word", list(range(brown.ENDINGS)))).collect()}
+    assert got == {w: brown.ending(w.encode()) for w in words}
+
+
 def test_brown_probabilities_sum_to_one(spark, scratch):
     train = [(i, t) for i, t in enumerate(["a b c a b", "b c a", "d e f d", "e f d e", "rare words here"])]
     model, rare = brown.fit(spark.createDataFrame(train, DOC), scratch)
@@ -288,6 +326,30 @@ def test_near_duplicates_in_blocks(spark, scratch, monkeypatch):
     assert set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("products", [0, 16])
+def test_near_duplicates_of_one_template(spark, scratch, monkeypatch, products):
+    """Texts of a template that are mostly too different to link, some pairs of which do link, in buckets of many blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "PRODUCTS", products)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        t = [f"t{j}" for j in range(150)]
+        for at in rng.choice(30, int(rng.integers(1, 6)), replace=False) * 5:
+            t[at] = f"own{i}x{at}" if rng.random() < 0.8 else f"shared{at}x{rng.integers(3)}"
+        rows.append((i, " ".join(t)))
+    sets = [set(near_dup.shingles(t.encode(), 5).tolist()) for _, t in rows]
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOC), scratch, 85).collect()}
+    assert got == dict(enumerate(top)) and 3 < len(set(top)) < 140
+
+
 def test_keep_one(spark, scratch):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(3, t, "a"), (2, t, "b"), (2, t, "c"), (5, "other text", "d"), (6, None, "e"), (7, None, "f")], "doc_id long, text string, row string")
@@ -356,6 +418,31 @@ def test_grid_join_blocks(spark, scratch, monkeypatch):
     assert got == {i: (int(near[i].sum()), int(comp[i])) for i in range(200)} and near.any()
 
 
+def test_million_words_and_hot_keys(spark, scratch):
+    """A text of a million words; a vertex that two thirds of the edges share; a bucket of many near copies of it."""
+    long = " ".join(f"w{i}" for i in range(1_000_000))
+    rows = [(0, long), (1, long + " more"), (2, "short text of a few words")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOC), scratch, 85).collect()}
+    assert got == {0: (999_996, 0), 1: (999_997, 0), 2: (2, 2)}
+    edges = [(7, i) for i in range(10, 3000)] + [(i, i + 1) for i in range(5000, 6000)]
+    comp = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert comp == {7: 7, **{i: 7 for i in range(10, 3000)}, **{i: 5000 for i in range(5000, 6001)}}
+    base = [f"v{i}" for i in range(60)]
+    near = [(i, " ".join([*base[: i % 60], f"own{i}", *base[i % 60 + 1 :]])) for i in range(900)]
+    assert {r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(near, DOC), scratch, 80).collect()} == {0}
+
+
+def test_extra_columns_with_the_names_of_helpers(spark, scratch):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, "a", "b"), (2, [1.0, 0.0], 1, "c", "d")], "vec_id long, embedding array<double>, label int, row string, node string")
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in grid_join.near_vectors(df, scratch, 0.98).collect()} == {(1, 1, 1), (2, 1, 1)}
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z"), (2, "b c", "x", "y", "z")], "doc_id long, text string, training string, tail string, n_tokens string")
+    model, rare = brown.fit(docs, scratch)
+    out = brown.score(docs, model, rare, scratch, [F.col("doc_id")])
+    assert out.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"] and out.count() == 2
+    _, both = brown.fit_and_score(docs, F.col("doc_id") == 1, scratch, [F.col("doc_id"), F.col("training")])
+    assert {r["training"] for r in both.collect()} == {"x"}
+
+
 def test_components(spark, scratch):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (None, 3), (5, 2), (2, 9), (9, 5), (9, 5)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
