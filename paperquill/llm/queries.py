@@ -38,8 +38,7 @@ def held_out(modulus: int) -> Column:
 
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "brown"), read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rare = brown.fit(docs.filter(~held_out(7)), scratch)
-    rows = brown.score(docs, model, rare, scratch, [F.col("doc_id"), held_out(7).alias("held_out")])
+    model, rows = brown.fit_and_score(docs, ~held_out(7), scratch, [F.col("doc_id"), held_out(7).alias("held_out")])
     return rows.withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
