@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,10 +32,24 @@ def keep_first(df: DataFrame, key: Column, order: Column | list[Column]) -> Data
     return kept.select("_row.*")
 
 
-def unique_ids(df: DataFrame, id_col: str, order: Column | list[Column]) -> DataFrame:
-    """The id of its second and later rows in order gets '#2', '#3', ..."""
-    n = F.row_number().over(Window.partitionBy(id_col).orderBy(*(order if isinstance(order, list) else [order])))
-    return df.withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") > 1, F.concat(id_col, F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(id_col))).drop("_n")
+def unique_ids(df: DataFrame, id_col: str, order: Column | list[Column], save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The id of its second and later rows in order gets '#2', '#3', ...
+
+    save: a function that stores a table. With it, rows are dealt by ranges of id and order, and an id's places are those
+    within a range after all ranges before, so an id that very many rows share is not one task.
+    """
+    orders = order if isinstance(order, list) else [order]
+    if save is None:
+        n = F.row_number().over(Window.partitionBy(id_col).orderBy(*orders))
+        rows = df.withColumn("_n", n)
+    else:
+        dealt = save(df.repartitionByRange(F.col(id_col), *orders).withColumn("_p", F.spark_partition_id()))
+        ranges = dealt.groupBy(F.col(id_col).alias("_id"), F.col("_p").alias("_q")).agg(F.count("*").alias("_m"))
+        so_far = Window.partitionBy("_id").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+        ranges = ranges.withColumn("_before", F.sum("_m").over(so_far) - F.col("_m"))
+        rows = dealt.join(ranges, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_q")))
+        rows = rows.withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy(id_col, "_p").orderBy(*orders))).drop("_p", "_id", "_q", "_m", "_before")
+    return rows.withColumn(id_col, F.when(F.col("_n") > 1, F.concat(id_col, F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(id_col))).drop("_n")
 
 
 def question_grams(df: DataFrame, with_nfc: bool = True) -> DataFrame:

@@ -61,7 +61,7 @@ def training_set(extracted: DataFrame, dev: DataFrame, save, top: int | None = 8
     firsts = q.filter("decision is null").groupBy("_key").agg(F.min("row").alias("row")).select("row", F.lit("kept").alias("_kept"))
     q = save(q.join(firsts, "row", "left").withColumn("decision", F.coalesce("decision", "_kept", F.lit("repeated"))).drop("_key", "_kept"))
     name = F.concat(F.lit("g"), F.coalesce(F.col("metadata.grade").cast("string"), F.lit("None")), F.lit("::"), F.left(F.regexp_replace(F.regexp_extract(F.coalesce("metadata.pdf", F.lit("x")), "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""), F.lit(60)), F.lit("::"), F.col("q_no").cast("string"))
-    rows = unique_ids(q.filter("decision = 'kept'").withColumn("id", name), "id", F.col("row"))
+    rows = unique_ids(q.filter("decision = 'kept'").withColumn("id", name), "id", F.col("row"), save)
     kept = rows.select(
         "id", canonical_subject(F.col("subject")).alias("subject"), "category", "question", "choices", "answer", "metadata.grade", "metadata.difficulty", "metadata.year", "metadata.term",
         "metadata.region", "metadata.source", F.lit("extracted").alias("dataset"), "original_n_options",

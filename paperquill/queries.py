@@ -187,7 +187,7 @@ def bag_dedup_keep_first(spark, d):
 @query("""SELECT doc_id, CASE WHEN n > 1 THEN id || '#' || n ELSE id END AS id FROM (
   SELECT doc_id, md5(text) AS id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents)""")
 def dedup_unique_ids(spark, d):
-    return dedup.unique_ids(table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("id")), "id", F.col("doc_id"))
+    return dedup.unique_ids(table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("id")), "id", F.col("doc_id"), saver(spark, "ids"))
 
 
 # -- near-duplicates of a test set

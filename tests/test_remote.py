@@ -103,3 +103,12 @@ def test_gram_counts_with_and_without_a_broadcast(spark, monkeypatch):
     fast = sorted(map(tuple, dedup.shared_grams(a, b, "row", "dev_id").collect()))
     monkeypatch.setattr(dedup, "MAX_INDEX", 0)
     assert fast == sorted(map(tuple, dedup.shared_grams(a, b, "row", "dev_id").collect())) and fast
+
+
+def test_ids_that_many_rows_share(spark, save):
+    from paperquill.operators.dedup import unique_ids
+
+    rows = [("a", i) for i in range(500)] + [(None, i) for i in range(20)] + [(f"b{i}", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, at int").repartition(7)
+    want = sorted(map(str, unique_ids(df, "id", F.col("at")).collect()))
+    assert sorted(map(str, unique_ids(df, "id", F.col("at"), save).collect())) == want and any("a#500" in x for x in want)
