@@ -12,8 +12,10 @@ EXCLUDED_PATH_PARTS = ("tamil-medium", "english-medium", "textbook", "/wp-admin"
 SKIP_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".zip", ".rar", ".pdf")
 PAPER_WORDS = ("paper", "exam", "term-test", "-term-")
 NOT_PAPER_WORDS = ("note", "lesson", "unit-", "chapter", "workbook", "textbook", "syllabus", "teacher", "guide", "activity", "පාඩම", "සටහන")
+# Provinces in the order in which they are looked for; words of terms and their numbers.
 REGIONS = ("north-western", "north-central", "western", "southern", "central", "uva", "sabaragamuwa", "eastern", "northern")
 TERMS = {"1st": 1, "2nd": 2, "3rd": 3, "first": 1, "second": 2, "third": 3}
+# Words that tell answers; subjects of titles in the order in which they are looked for.
 ANSWER_WORDS = ("answer", "marking scheme", "marking-scheme", "marking_scheme")
 TITLE_SUBJECTS = ("Mathematics", "Science", "Sinhala", "History", "English", "Buddhism", "Geography", "Civic", "ICT", "Health", "Art", "Music", "Dancing", "Drama")
 

@@ -111,6 +111,8 @@ def clean_filename(c: Column, longest: int = 150) -> Column:
 
 #: Frequent English words of exam papers.
 ENGLISH_WORDS = ("the", "and", "of", "to", "is", "in", "for", "are", "which", "what", "answer", "question", "following", "paper", "write", "from", "with", "this", "that", "by", "on", "an", "be")
+#: Fixed value: a question's number with its answer.
+ANSWER_PAIR = r"(?U)\(?0?\d{1,2}\)?\s*[.)\-:–]?\s*\(?[1-4]\)?(?![\d.])"
 #: Signs that follow a letter, and what they may follow.
 DEPENDENT, LETTER = "ංඃ්ා-ෟ", "අ-ඖක-ෆ‍"
 
@@ -170,7 +172,7 @@ def precheck_features(text: Column) -> dict[str, Column]:
         "nwords": F.size(words),
         "eng": english_words(words) / F.greatest(F.size(words), F.lit(1)),
         "broken": broken_sign_ratio(text),
-        "pairs": F.regexp_count(text, F.lit("(?U)\\(?0?\\d{1,2}\\)?\\s*[.)\\-:–]?\\s*\\(?[1-4]\\)?(?![\\d.])")),
+        "pairs": F.regexp_count(text, F.lit(ANSWER_PAIR)),
     }
 
 

@@ -15,7 +15,10 @@ from ..functions.mcq import SINHALA_DIGITS
 from ..functions.text import strip
 from .windows import cluster_by_gap, longest_block
 
-# The pattern of headings of keys, roman numbers of options, usual numbers of questions.
+# Patterns of headings of keys, of a numbered answer, of a number in a table, of a line with one answer and of a
+# line that doesn't count; roman numbers of options; usual numbers of questions.
+PAIR = r"(?U)(?<![\d.])\(?0?(\d{{1,2}})\)?\s*[.)\-:–]?\s*\(?([1-{most}])\)?(?![\d.])"
+TOKEN, ALONE, PASSED = r"(?U)^\(?(\d{1,2})[.)]?$", r"(?U)^\(?\s*([1-5])\s*\)?$", r"(?U)^[-–()\s.]*$"
 HEADING = r"(?iU)පිළිතුරු|marking\s*scheme|ලකුණු\s*දීමේ|answer|(^|\s)I\s*කොටස"
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5}
 USUAL_SIZES = (50, 40, 35, 30, 25, 20)
@@ -52,7 +55,7 @@ def spans(papers: DataFrame, headed: bool = False) -> DataFrame:
 def pairs(parts: DataFrame) -> DataFrame:
     """'(01) 2', '1. 3', '12 - 4' anywhere in the joined lines; a question's first answer counts."""
     text = F.array_join(F.col("part.text"), " ")
-    pattern = lambda most: F.lit(rf"(?U)(?<![\d.])\(?0?(\d{{1,2}})\)?\s*[.)\-:–]?\s*\(?([1-{most}])\)?(?![\d.])")
+    pattern = lambda most: F.lit(PAIR.format(most=most))
     zipped = lambda most: F.arrays_zip(F.regexp_extract_all(text, pattern(most), F.lit(1)).alias("q"), F.regexp_extract_all(text, pattern(most), F.lit(2)).alias("a"))
     each = parts.select(*SPAN, F.posexplode(F.when(F.col("options") >= 5, zipped(5)).otherwise(zipped(4))).alias("at", "pair"))
     each = each.select(*SPAN, "at", _number(F.col("pair.q")).alias("q_no"), F.col("pair.a").cast("int").alias("answer"))
@@ -64,7 +67,7 @@ def table(parts: DataFrame) -> DataFrame:
     answers only; each answer belongs to the number that is nearest to it along the header."""
     lines = parts.select(*SPAN, "options", F.posexplode("part").alias("i", "line"))
     words = lines.select(*SPAN, "options", "i", "line", F.posexplode(F.split("line.text", r"(?U)\s+")).alias("j", "word"))
-    number = _number(F.regexp_extract("word", r"(?U)^\(?(\d{1,2})[.)]?$", 1))
+    number = _number(F.regexp_extract("word", TOKEN, 1))
     middle = lambda a, b: (F.col(f"line.{a}") + F.col(f"line.{b}")) / 2
     token = words.select(*SPAN, "options", F.col("line.page").alias("page"), (F.col("i").cast("long") * (1 << 20) + F.col("j")).alias("read"), number.alias("v"), middle("x0", "x1").alias("x"), middle("y0", "y1").alias("y"))
     ways = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("x").alias("along"), F.col("y").alias("across")), F.struct(F.lit(1).alias("way"), F.col("y").alias("along"), F.col("x").alias("across"))))
@@ -86,10 +89,10 @@ def table(parts: DataFrame) -> DataFrame:
 def sequence(parts: DataFrame) -> DataFrame:
     """The longest block of lines of one answer each, if it is long enough; lines of dashes and brackets don't break it."""
     lines = parts.select(*SPAN, "options", F.posexplode("part").alias("i", "line")).withColumn("said", F.lower(strip(F.col("line.text"))))
-    digit = F.regexp_extract("said", r"(?U)^\(?\s*([1-5])\s*\)?$", 1).try_cast("int")
+    digit = F.regexp_extract("said", ALONE, 1).try_cast("int")
     roman = F.try_element_at(F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv]), F.col("said"))
     value = F.coalesce(digit, roman)
-    lines = lines.select(*SPAN, "i", F.when(value <= F.col("options"), value).alias("answer"), F.col("said").rlike(r"(?U)^[-–()\s.]*$").alias("neutral"))
+    lines = lines.select(*SPAN, "i", F.when(value <= F.col("options"), value).alias("answer"), F.col("said").rlike(PASSED).alias("neutral"))
     lines = lines.withColumn("inside", F.col("answer").isNotNull())
     best = longest_block(lines.withColumnRenamed("start", "from"), ["paper_id", "n", "from"], "i", "inside", "neutral").filter("length >= n")
     block = lines.filter("not neutral").join(best.select("paper_id", "n", F.col("from").alias("start"), F.col("start").alias("at")), SPAN).filter("i >= at")
