@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +101,28 @@ class _Scorer:
 
 
 def train_numpy(rows: list[list[int]], labels: np.ndarray, swapped: list[tuple[int, list[int]]], n: int, prior: float, l2: float, counterfactual: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over all rows. swapped: (row, features after the swap). prior: log odds to add."""
-    flat = np.array([i for r in rows for i in r], np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    """train() of lists: the features of each row; swapped: (row, features after the swap)."""
+    entries = lambda lists: (np.array([i for r in lists for i in r], np.int64), np.repeat(np.arange(len(lists)), [len(r) for r in lists]).astype(np.int64))
+    return train(entries(rows), labels, entries([r for _, r in swapped]), entries([rows[k] for k, _ in swapped]), len(swapped), n, prior, l2, counterfactual)
+
+
+def train(features, labels: np.ndarray, gained, lost, swaps_: int, n: int, prior: float, l2: float, counterfactual: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam over all rows. features: (feature, its row); gained and lost: (feature, its swap), what the
+    swaps add and take away. prior: log odds to add."""
+    flat, row = features
     # a swap's change of logit: +1 for features gained, -1 for those lost
-    s_flat = np.array([i for k, r in swapped for i in (*r, *rows[k])], np.int64)
-    s_sign = np.array([s for k, r in swapped for s in ([1.0] * len(r) + [-1.0] * len(rows[k]))])
-    s_row = np.repeat(np.arange(len(swapped)), [len(r) + len(rows[k]) for k, r in swapped])
+    s_flat, s_row = (np.concatenate(x) for x in zip(gained, lost))
+    s_sign = np.repeat([1.0, -1.0], [len(gained[0]), len(lost[0])])
     theta, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     theta[n] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
     for step in range(1, STEPS + 1):
         w = theta[:n]
-        logit = theta[n] + np.bincount(row, w[flat], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(rows)
+        logit = theta[n] + np.bincount(row, w[flat], len(labels))
+        err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(labels)
         grad = np.append(np.bincount(flat, err[row], n) + l2 * w, err.sum())
-        if len(swapped):
-            change = np.bincount(s_row, s_sign * w[s_flat], len(swapped))
-            grad[:n] += np.bincount(s_flat, (2 * counterfactual / len(swapped)) * change[s_row] * s_sign, n)
+        if swaps_:
+            change = np.bincount(s_row, s_sign * w[s_flat], swaps_)
+            grad[:n] += np.bincount(s_flat, (2 * counterfactual / swaps_) * change[s_row] * s_sign, n)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * 0.5 * (1 + np.cos(np.pi * step / STEPS)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -194,22 +200,32 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     def featurise(batches):
         scorer = model.scorer()
         for b in batches:
-            ids, other = [], []
+            ids, gained, lost = [], [], []
             for t in texts(b, "text"):
                 distinct = set(words(t))
                 ids.append(scorer.of(distinct))
                 found = distinct & swap.keys()
-                other.append(scorer.of((distinct - found) | {swap[w] for w in found}) if found else None)
+                other = set(scorer.of((distinct - found) | {swap[w] for w in found})) if found else set(ids[-1])
+                gained.append(sorted(other.difference(ids[-1])))
+                lost.append(sorted(set(ids[-1]) - other))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_y"), pa.array(ids, kind), pa.array(other, kind)], names=["h", "y", "ids", "other"])
+            yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_y"), *[pa.array(x, kind) for x in (ids, gained, lost)]], names=["h", "y", "ids", "gained", "lost"])
+
+    got = sample.select("_h", "_y", "text").mapInArrow(featurise, "h string, y int, ids array<int>, gained array<int>, lost array<int>").toArrow()  # at most 2 * max_rows rows
+    got = got.sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
+
+    def entries(name: str):
+        lists = got.column(name).chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+        return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
 
-    got = sample.select("_h", "_y", "text").mapInArrow(featurise, "h string, y int, ids array<int>, other array<int>").toArrow()  # at most 2 * max_rows rows
-    got = got.sort_by([("h", "ascending"), ("y", "ascending")])
-    rows, y = got.column("ids").to_pylist(), got.column("y").to_numpy().astype(float)
-    swapped = [(k, other) for k, other in enumerate(got.column("other").to_pylist()) if other is not None and other != rows[k]]
-    model.rows, model.swapped = len(rows), len(swapped)
+    features, gains, losses = entries("ids"), entries("gained"), entries("lost")
+    of_swap, spot = np.unique(np.concatenate([gains[1], losses[1]]), return_inverse=True)
+    model.rows, model.swapped = got.num_rows, len(of_swap)
+    gains, losses = (gains[0], spot[: len(gains[1])]), (losses[0], spot[len(gains[1]) :])
+    y = got.column("y").to_numpy().astype(float)
+    del got
     prior = np.log((n[1] / n[0]) / (taken[1] / taken[0]))
-    model.weights, model.bias = train_numpy(rows, y, swapped, len(best), prior, l2, counterfactual)
+    model.weights, model.bias = train(features, y, gains, losses, model.swapped, len(best), prior, l2, counterfactual)
     scratch.drop(sample)
     return model
 
