@@ -141,8 +141,8 @@ def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard under a name of its own and renames it at the end, so that a repeated task does no harm."""
 
-    def __init__(self, folder: str, shard: int, level: int = 3, frame_ids: int = FRAME_IDS):
-        self.frame_ids = frame_ids
+    def __init__(self, folder: str, shard: int, level: int = 3, frame_ids: int | None = None):
+        self.frame_ids = frame_ids or FRAME_IDS
         self.fs, root = open_fs(folder)
         self.fs.create_dir(root)
         self.name = f"shard-{shard:06d}.zst"
@@ -222,13 +222,13 @@ class ShardReader:
 _encoders: dict[tuple[int, int | None], ChunkEncoder] = {}
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, shards: int, doc_id: str = "doc_id", text: str = "text", frame_ids: int = FRAME_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, shards: int, doc_id: str = "doc_id", text: str = "text", frame_ids: int | None = None) -> DataFrame:
     """Encode docs and write them in ascending doc_id order to shards of a folder that driver and executors share.
 
     Returns one row per shard: shard, name, n_docs, n_tokens. Nulls: a null text is empty (only the end id), a null
     doc_id sorts first. Rows with equal doc_id (or none) have the order of the first characters of their texts, and may be
-    in several shards. An empty table gives no shard. frame_ids: ids of a frame at most, but for longer documents; a reader
-    of one document decompresses its frame (about 1 MB by default).
+    in several shards. An empty table gives no shard. frame_ids: ids of a frame at most (FRAME_IDS by default), but for longer
+    documents; a reader of one document decompresses its frame, about 1 MB by default.
     """
     small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
