@@ -99,6 +99,25 @@ class Scratch:
         self.tie(path, out)
         return out
 
+    def save_split(self, df: DataFrame, column: str, name: str = "t") -> tuple[DataFrame, DataFrame]:
+        """The rows for which a boolean column is true, and those for which it is false, stored apart and without it."""
+        schema, path = df.drop(column).schema, self.path(name)
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        del df
+        self.free()
+        out = []
+        for value in ("true", "false"):
+            part = f"{path}/{column}={value}"
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+            if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+                table = self.spark.read.schema(schema).parquet(part)
+                table._paperquill_path = part
+                self.tie(part, table)
+            else:  # there are no such rows
+                table = self.spark.createDataFrame([], schema)
+            out.append(table)
+        return out[0], out[1]
+
     def tie(self, path: str, table: DataFrame) -> None:
         """Delete a path when the plans that read the table are gone."""
         _watched.append((self.spark.sparkContext._jvm.java.lang.ref.WeakReference(_relation(table)), self.spark, path))
@@ -122,7 +141,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _delete(self.spark, t._paperquill_path)
+            if hasattr(t, "_paperquill_path"):
+                _delete(self.spark, t._paperquill_path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

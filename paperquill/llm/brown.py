@@ -39,6 +39,8 @@ ENDINGS = UNITS - UNIT_WORDS - 1
 LEAST_OWN = 3
 ROUNDS, MIX = 12, 4.0
 MARK_BITS = 24
+#: Words whose neighbours are summed in two steps, and groups of tasks of the first.
+HOT, SALTS = 512, 256
 HOLE = 255
 _EDGE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
@@ -208,14 +210,18 @@ def _marks(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _neighbours(docs: DataFrame, text: str, shared, marks) -> DataFrame:
+def _neighbours(docs: DataFrame, text: str, shared, marks, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """w, word, own, p: what is around each unit w, and around each word of LEAST_OWN occurrences or more beyond the head
     (its w is -1). p: rows of (unit, count), two int32 each; units before it have the number of units added. own: how often
     the unit follows itself. An end is before the first and after the last token of a text. marks: of the words beyond the
     head that occur often enough; the others' neighbours needn't be sent.
+
+    Two stored tables, which together have a row for each: what is around the HOT most frequent words, the endings and the end is
+    summed in two steps, over SALTS groups of tasks and then over these, for every task has counts of them.
     """
 
     number = len(shared.value) + ENDINGS + 1
+    is_hot = (F.col("w") >= len(shared.value)) | F.col("w").between(0, HOT - 1)
 
     def count(batches):
         unit = _Recording(shared.value)
@@ -295,8 +301,12 @@ def _neighbours(docs: DataFrame, text: str, shared, marks) -> DataFrame:
         trim()
 
     found = docs.select(text).mapInArrow(count, "w int, word binary, p binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "w", "word").mapInArrow(merge, "w int, word binary, own long, p binary")
+    n, shape = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w int, word binary, own long, p binary"
+    found = found.withColumn("salt", F.when(is_hot, F.spark_partition_id() % SALTS).otherwise(0)).repartition(n, "w", "word", "salt")
+    first, rest = scratch.save_split(found.select("w", "word", "p").mapInArrow(merge, shape).withColumn("hot", is_hot), "hot", "neighbours")
+    hot = scratch.save(first.select("w", "word", "p").repartition(n, "w").mapInArrow(merge, shape), "hot-neighbours")
+    scratch.drop(first)
+    return rest, hot
 
 
 def _start(around: DataFrame, words: int) -> np.ndarray:
@@ -514,14 +524,15 @@ def _learn(docs: DataFrame, scratch: Scratch, text: str, head: int) -> tuple[Mod
     shared = docs.sparkSession.sparkContext.broadcast(unit_words)
     beyond = vocabulary.filter(F.col("c") < least)
     marks = docs.sparkSession.sparkContext.broadcast(_marks(beyond.filter(F.col("c") >= LEAST_OWN)))
-    around = scratch.save(_neighbours(docs, text, shared, marks), "neighbours")
+    rest, hot = _neighbours(docs, text, shared, marks, scratch)
+    around = rest.unionByName(hot)
     cls, table, stopped = _cluster(around, len(unit_words))
     # in the head, words of less than LEAST_OWN occurrences stay with their endings, too
-    placed = _place(around.filter("w < 0"), len(unit_words), cls, table) if least > LEAST_OWN else docs.sparkSession.createDataFrame([], "word binary, k int")
+    placed = _place(rest.filter("w < 0"), len(unit_words), cls, table) if least > LEAST_OWN else docs.sparkSession.createDataFrame([], "word binary, k int")
 
     k = F.coalesce("k", ending_class("word", cls[len(unit_words) : -1]))
     rare = scratch.save(beyond.join(placed, "word", "left").select("word", "c", k.alias("k")), "rare")
-    scratch.drop(around)
+    scratch.drop(rest, hot)
     unit = _Units(unit_words)
     types = np.bincount([cls[unit[w]] for w in known], minlength=CLASSES).astype(float) if known else np.zeros(CLASSES)
     for k, t in rare.groupBy("k").count().collect():
