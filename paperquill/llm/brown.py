@@ -216,12 +216,12 @@ def _neighbours(docs: DataFrame, text: str, shared, marks, scratch: Scratch) ->
     the unit follows itself. An end is before the first and after the last token of a text. marks: of the words beyond the
     head that occur often enough; the others' neighbours needn't be sent.
 
-    Two stored tables, which together have a row for each: what is around the HOT most frequent words, the endings and the end is
+    Two stored tables, which together have a row for each: what is around the HOT most frequent words and the end is
     summed in two steps, over SALTS groups of tasks and then over these, for every task has counts of them.
     """
 
     number = len(shared.value) + ENDINGS + 1
-    is_hot = (F.col("w") >= len(shared.value)) | F.col("w").between(0, HOT - 1)
+    is_hot = (F.col("w") == number - 1) | F.col("w").between(0, min(HOT, len(shared.value)) - 1)
 
     def count(batches):
         unit = _Recording(shared.value)
@@ -304,7 +304,7 @@ def _neighbours(docs: DataFrame, text: str, shared, marks, scratch: Scratch) ->
     n, shape = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w int, word binary, own long, p binary"
     found = found.withColumn("salt", F.when(is_hot, F.spark_partition_id() % SALTS).otherwise(0)).repartition(n, "w", "word", "salt")
     first, rest = scratch.save_split(found.select("w", "word", "p").mapInArrow(merge, shape).withColumn("hot", is_hot), "hot", "neighbours")
-    hot = scratch.save(first.select("w", "word", "p").repartition(n, "w").mapInArrow(merge, shape), "hot-neighbours")
+    hot = scratch.save(first.select("w", "word", "p").repartition(max(1, n // 4), "w").mapInArrow(merge, shape), "hot-neighbours")
     scratch.drop(first)
     return rest, hot
 
