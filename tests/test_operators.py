@@ -85,6 +85,24 @@ def test_test_overlap_rules(spark):
     assert dedup.test_overlap(a, b, top=None).count() == 3
 
 
+def test_test_overlap_without_a_shuffle_of_grams(spark, monkeypatch):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    text = lambda i, n: " ".join(words[(i * k + k * k) % 12] for k in range(n))
+    rows = [(i, text(i, 3 + i % 9), [text(i + k, 2) for k in range(i % 4)]) for i in range(60)]
+    rows += [(100, None, ["x"]), (101, "", []), (102, "ab", []), (103, text(3, 6) + " more words at its end", [text(3, 2), text(4, 2)]), (104, "q", None), (None, "alpha beta", [])]
+    dev = [(i, *r[1:]) for i, r in enumerate(rows[:20])] + [(50, "", []), (51, "ab", [None]), (52, None, []), (None, "alpha beta", [])]
+    a = dedup.question_grams(spark.createDataFrame(rows, "id int, question string, choices array<string>"))
+    b = dedup.question_grams(spark.createDataFrame(dev, "dev_id int, question string, choices array<string>"))
+    for near in (0.3, 0.95):
+        found = dedup.test_overlap(a, b, near=near, top=3)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        want = sorted(map(tuple, found.collect()))
+        for bound in ("MAX_CELLS", "MAX_INDEX"):
+            with monkeypatch.context() as m:
+                m.setattr(dedup, bound, 0)
+                assert want == sorted(map(tuple, dedup.test_overlap(a, b, near=near, top=3).collect())) and want
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", 1, True), ("a", None, False), ("b", 2, True), (None, 1, False)], "subject string, pred int, correct boolean")
     assert {tuple(r) for r in metrics.accuracy_by(df, "subject").collect()} == {("a", 2, 0.5), ("b", 1, 1.0)}
