@@ -1,8 +1,9 @@
 """Answer keys of exam papers, by table operations over the lines that follow the questions.
 
 A key is looked for after every heading of answers, and after none. What follows is read in three ways: as numbered
-pairs, as a table whose columns (or rows) are numbered, and as a plain sequence of answers. Each way makes rows (paper, n,
-method, start, q_no, answer); the first way, and of it the first start, that answers nearly all of the n questions counts.
+pairs, as a table whose columns (or rows) are numbered, and as a plain sequence of answers. Each way makes rows (paper,
+lines read, method, q_no, answer, most); the first way, and of it the first start, that answers nearly all of the n questions
+counts. The same lines are read once, whichever starts and numbers of questions they are for.
 No group is larger than the lines of a paper.
 """
 
@@ -30,7 +31,10 @@ FILE_OPTIONS, HEADER_LENGTH, ROWS_BELOW = 5, 5, 3
 METHODS = ("pairs", "table", "sequence")
 #: The start that no heading precedes comes after all others.
 NO_HEADING = (1 << 31) - 1
-SPAN = ["paper_id", "n", "start"]
+#: Of ways that don't say how many questions they answer in a row.
+ANY = (1 << 31) - 1
+#: The lines at, at + 1, ... of a tail, so many as upto says.
+SPAN = ["paper_id", "at", "upto"]
 
 
 def _number(c: Column) -> Column:
@@ -38,18 +42,23 @@ def _number(c: Column) -> Column:
 
 
 def spans(papers: DataFrame, headed: bool = False) -> DataFrame:
-    """paper_id, n, options, start and part (array of lines): what follows each heading in the tail of a paper.
+    """paper_id, options, at, upto, part (array of lines): what follows each heading in the tail of a paper, as far as it is
+    read for each number of questions; asked: the starts and numbers of questions (n) that it is read for.
 
     headed: the tail as a whole is taken to follow a heading, too.
     """
-    line = F.lit(LINES_EACH) * F.col("n")
     is_heading = lambda x: (F.char_length(strip(x["text"])) <= HEADING_LENGTH) & x["text"].rlike(HEADING)
-    place = lambda start, at, length: F.struct(start.cast("int").alias("start"), at.cast("int").alias("at"), length.cast("int").alias("length"))
-    found = F.filter(F.transform("tail", lambda x, i: F.when(is_heading(x), place(i, i + 1, line))), lambda s: s.isNotNull())
-    first = [F.array(place(F.lit(-1), F.lit(0), line))] if headed else []
-    last = F.array(place(F.lit(NO_HEADING), F.lit(0), line - (1 if headed else 0)))
-    each = papers.select("paper_id", "n", "options", "tail", F.explode(F.concat(*first, found, last)).alias("s"))
-    return each.select("paper_id", "n", "options", "s.start", F.slice("tail", F.col("s.at") + 1, F.col("s.length")).alias("part"))
+    place = lambda start, at, less: F.struct(start.cast("int").alias("start"), at.cast("int").alias("at"), F.lit(less).alias("less"))
+    found = F.filter(F.transform("tail", lambda x, i: F.when(is_heading(x), place(i, i + 1, 0))), lambda s: s.isNotNull())
+    first = [F.array(place(F.lit(-1), F.lit(0), 0))] if headed else []
+    last = F.array(place(F.lit(NO_HEADING), F.lit(0), 1 if headed else 0))
+    each = papers.select("paper_id", "sizes", "options", "tail", F.concat(*first, found, last).alias("places"))
+    upto = lambda s, n: F.least(F.size("tail") - s["at"], F.lit(LINES_EACH) * n - s["less"])
+    read = F.flatten(F.transform("places", lambda s: F.transform("sizes", lambda n: F.struct(s["at"].alias("at"), upto(s, n).alias("upto"), s["start"].alias("start"), n.alias("n")))))
+    each = each.select("paper_id", "options", "tail", F.filter(read, lambda r: r["upto"] > 0).alias("read"))
+    each = each.select("*", F.explode(F.array_distinct(F.transform("read", lambda r: F.struct(r["at"].alias("at"), r["upto"].alias("upto"))))).alias("s"))
+    asked = F.transform(F.filter("read", lambda r: (r["at"] == F.col("s.at")) & (r["upto"] == F.col("s.upto"))), lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n")))
+    return each.select("paper_id", "options", "s.at", "s.upto", F.slice("tail", F.col("s.at") + 1, F.col("s.upto")).alias("part"), asked.alias("asked"))
 
 
 def pairs(parts: DataFrame) -> DataFrame:
@@ -57,9 +66,9 @@ def pairs(parts: DataFrame) -> DataFrame:
     text = F.array_join(F.col("part.text"), " ")
     pattern = lambda most: F.lit(PAIR.format(most=most))
     zipped = lambda most: F.arrays_zip(F.regexp_extract_all(text, pattern(most), F.lit(1)).alias("q"), F.regexp_extract_all(text, pattern(most), F.lit(2)).alias("a"))
-    each = parts.select(*SPAN, F.posexplode(F.when(F.col("options") >= 5, zipped(5)).otherwise(zipped(4))).alias("at", "pair"))
-    each = each.select(*SPAN, "at", _number(F.col("pair.q")).alias("q_no"), F.col("pair.a").cast("int").alias("answer"))
-    return each.filter(F.col("q_no").between(1, F.col("n"))).groupBy(*SPAN, "q_no").agg(F.min_by("answer", "at").alias("answer"))
+    each = parts.select(*SPAN, F.posexplode(F.when(F.col("options") >= 5, zipped(5)).otherwise(zipped(4))).alias("i", "pair"))
+    each = each.select(*SPAN, "i", _number(F.col("pair.q")).alias("q_no"), F.col("pair.a").cast("int").alias("answer"))
+    return each.filter("q_no >= 1").groupBy(*SPAN, "q_no").agg(F.min_by("answer", "i").alias("answer")).withColumn("most", F.lit(ANY))
 
 
 def table(parts: DataFrame) -> DataFrame:
@@ -82,8 +91,8 @@ def table(parts: DataFrame) -> DataFrame:
     heads = rows.withColumn("near", F.get(near, F.lit(0))).filter(is_header & F.col("near").isNotNull())
     each = heads.select(*SPAN, "way", "page", "cluster", "row", F.posexplode("near").alias("k", "t"))
     nearest = F.array_min(F.transform("row", lambda h, i: F.struct(F.abs(h["along"] - F.col("t.along")).alias("off"), i.alias("i"), h["v"].alias("v"))))
-    each = each.withColumn("h", nearest).filter((F.col("h.off") <= BESIDE) & F.col("h.v").between(1, F.col("n")))
-    return each.groupBy(*SPAN, F.col("h.v").alias("q_no")).agg(F.min_by("t.v", F.struct("way", "page", "cluster", "k")).alias("answer"))
+    each = each.withColumn("h", nearest).filter((F.col("h.off") <= BESIDE) & (F.col("h.v") >= 1))
+    return each.groupBy(*SPAN, F.col("h.v").alias("q_no")).agg(F.min_by("t.v", F.struct("way", "page", "cluster", "k")).alias("answer")).withColumn("most", F.lit(ANY))
 
 
 def sequence(parts: DataFrame) -> DataFrame:
@@ -94,32 +103,35 @@ def sequence(parts: DataFrame) -> DataFrame:
     value = F.coalesce(digit, roman)
     lines = lines.select(*SPAN, "i", F.when(value <= F.col("options"), value).alias("answer"), F.col("said").rlike(PASSED).alias("neutral"))
     lines = lines.withColumn("inside", F.col("answer").isNotNull())
-    best = longest_block(lines.withColumnRenamed("start", "from"), ["paper_id", "n", "from"], "i", "inside", "neutral").filter("length >= n")
-    block = lines.filter("not neutral").join(best.select("paper_id", "n", F.col("from").alias("start"), F.col("start").alias("at")), SPAN).filter("i >= at")
+    best = longest_block(lines, SPAN, "i", "inside", "neutral").withColumnRenamed("length", "most")
+    block = lines.filter("not neutral").join(best, SPAN).filter("i >= start")
     q_no = F.row_number().over(Window.partitionBy(*SPAN).orderBy("i"))
-    return block.withColumn("q_no", q_no).filter("q_no <= n").select(*SPAN, "q_no", "answer")
+    return block.withColumn("q_no", q_no).filter("q_no <= most").select(*SPAN, "q_no", "answer", F.col("most").cast("int").alias("most"))
 
 
 def answer_keys(papers: DataFrame, headed: bool = False) -> DataFrame:
-    """papers (paper_id, n, options, tail) to paper_id, answers (map of question to answer) and method of those with a key.
+    """papers (paper_id, n, options, tail), one row each, to paper_id, answers (map of question to answer) and method of those
+    with a key.
 
-    Of several sizes n of a paper the largest counts whose key reaches nearly to its end. tail: array of lines (text,
-    page, x0, y0, x1, y1). A paper without lines, or whose key answers too little, has no row.
+    With sizes (an array) instead of n, the largest size counts whose key reaches nearly to its end. tail: array of lines
+    (text, page, x0, y0, x1, y1). A paper without lines, or whose key answers too little, has no row.
     """
-    parts = spans(papers, headed)
+    parts = spans(papers if "sizes" in papers.columns else papers.withColumn("sizes", F.array("n")), headed)
     rows = None
     for i, method in enumerate((pairs, table, sequence)):
-        one = method(parts).select(*SPAN, F.lit(i).alias("m"), "q_no", "answer")
+        one = method(parts).select(*SPAN, F.lit(i).alias("m"), "q_no", "answer", "most")
         rows = one if rows is None else rows.unionByName(one)
-    enough = rows.groupBy(*SPAN, "m").agg(F.map_from_entries(F.collect_list(F.struct("q_no", "answer"))).alias("answers"), F.max("q_no").alias("last"))
-    enough = enough.filter(F.size("answers") >= F.lit(COVERAGE) * F.col("n"))
-    best = enough.groupBy("paper_id", "n").agg(F.min_by(F.struct("answers", "last", "m"), F.struct("m", "start")).alias("b"))
+    said = rows.groupBy(*SPAN, "m").agg(F.collect_list(F.struct("q_no", "answer")).alias("said"), F.max("most").alias("most"))
+    each = said.join(parts.select(*SPAN, "asked"), SPAN).select("paper_id", "m", "said", "most", F.explode("asked").alias("s")).filter("most >= s.n")
+    each = each.select("paper_id", "m", "s.start", "s.n", F.filter("said", lambda x: x["q_no"] <= F.col("s.n")).alias("said"))
+    enough = each.filter((F.size("said") > 0) & (F.size("said") >= F.lit(COVERAGE) * F.col("n")))
+    best = enough.groupBy("paper_id", "n").agg(F.min_by(F.struct("said", F.array_max("said.q_no").alias("last"), "m"), F.struct("m", "start")).alias("b"))
     best = best.filter(F.col("b.last") >= F.lit(COVERAGE) * F.col("n")) if headed else best
     best = best.groupBy("paper_id").agg(F.max_by("b", "n").alias("b"))
-    return best.select("paper_id", "b.answers", F.element_at(F.array(*[F.lit(x) for x in METHODS]), F.col("b.m") + 1).alias("method"))
+    return best.select("paper_id", F.map_from_entries("b.said").alias("answers"), F.element_at(F.array(*[F.lit(x) for x in METHODS]), F.col("b.m") + 1).alias("method"))
 
 
 def keys_of_files(files: DataFrame) -> DataFrame:
     """answer_keys() of files (paper_id, tail) that have no questions: the usual numbers of questions are tried."""
-    sizes = F.explode(F.array(*[F.lit(n) for n in USUAL_SIZES]))
-    return answer_keys(files.select("paper_id", sizes.alias("n"), F.lit(FILE_OPTIONS).alias("options"), "tail"), headed=True)
+    sizes = F.array(*[F.lit(n) for n in USUAL_SIZES]).alias("sizes")
+    return answer_keys(files.select("paper_id", sizes, F.lit(FILE_OPTIONS).alias("options"), "tail"), headed=True)

@@ -103,6 +103,19 @@ def test_pairs_come_before_tables_and_headings_before_the_start(spark):
     assert found(spark, [lines, [], [cell(None, 1, 1)]], 3) == [({1: 1, 2: 2, 3: 3}, "pairs"), ({}, "none"), ({}, "none")]
 
 
+def test_same_lines_are_read_once(spark):
+    from paperquill.operators import keys, parse
+
+    lines = [cell("answer", 1, 1), cell("1. 1 2. 2", 1, 2)]
+    df = spark.createDataFrame([("a", lines)], f"paper_id string, {TAIL}").selectExpr("paper_id", "array(50, 40, 35, 30, 25, 20) AS sizes", "5 AS options", "tail")
+    got = {(r["at"], r["upto"]): len(r["asked"]) for r in keys.spans(df, True).collect()}
+    assert got == {(0, 2): 12, (1, 1): 6}  # not eighteen times
+    flat = spark.createDataFrame([("a", 2, None, 0, 1.0, 1.0, 1.0, float("nan")), ("a", 1, "x", None, 1.0, 1.0, 1.0, 1.0)], "paper_id string, line_no int, text string, page int, x0 double, y0 double, x1 double, y1 double")
+    read = parse.read_papers(flat)
+    assert "FlatMapGroups" not in read._jdf.queryExecution().toString()
+    assert [[tuple(x) for x in r["tail"]] for r in read.collect()] == [[("x", None, 1.0, 1.0, 1.0, 1.0), ("", 0, 1.0, 1.0, 1.0, None)]]
+
+
 def test_coverage_below_ninety_per_cent_is_none(spark):
     assert found(spark, [[cell("1. 2 2. 3 3. 1", 1, 1)]], 10) == [({}, "none")]
 
